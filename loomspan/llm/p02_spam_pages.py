@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.llm.residue_rules import filler_in, judge
 from loomspan.session import materialize, read_table
 
 BLOCK = 2048
@@ -33,6 +34,8 @@ MIN_WORDS, MAX_TOP = 6, 0.55
 #: the language's function words.
 EXTREME, REDUNDANT, LISTED = 0.8, 1.0, 1.5
 LONG_LINE, MAX_GLUE = 180, 0.04
+#: Lists that come back to one word in every entry.
+RECURRING, RECURRING_TOP = 1.2, 0.15
 #: Keywords put into sentences: prose this much more redundant than prose,
 #: of some length and with the language's function words (filler has none).
 STUFFED, STUFFED_BYTES, MIN_PROSE_GLUE = 0.78, 240, 0.02
@@ -73,6 +76,8 @@ def make_profiler():
         lines = [x for x in map(str.strip, text.split("\n")) if x]
         loose, prose = [], []
         for x in lines:
+            if filler_in(x):
+                continue
             sentence = end.search(x) or len(inner.findall(x)) >= 1 + len(x) / 200 or part.match(x)
             (prose if sentence else loose).append(x)
         low = text.lower()
@@ -89,7 +94,11 @@ def make_profiler():
         prose_glue = sum(w in known for w in bs) / max(1, len(bs))
         return (lang, len(a) / total if total else 0.0, top, glue, prose_glue, len(count), len(inner.findall(a)), len(ws), max(map(len, loose), default=0), *blocks(a.encode("utf-8", "replace")), *blocks(b.encode("utf-8", "replace")))
 
-    return profile
+    def spare(text: str) -> tuple:
+        # what stands instead of content is problem 1's, however redundant it is
+        return profile("" if judge(text)[1] else text)
+
+    return spare
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +162,7 @@ def spam_scores(reads: DataFrame) -> DataFrame:
     listed = mostly & (size >= MIN_BYTES) & (
         (loose <= EXTREME)
         | ((loose <= REDUNDANT) & (size >= 2 * MIN_BYTES))
+        | ((loose <= RECURRING) & (size >= 4 * MIN_BYTES) & (F.col("top") >= RECURRING_TOP))
         | ((loose <= LISTED) & (F.col("longest") >= LONG_LINE) & (F.col("glue") <= MAX_GLUE))
     )
     stuffed = (F.col("share") < MIN_SHARE) & (prose_size >= STUFFED_BYTES) & (prose <= STUFFED) & (F.col("prose_glue") >= MIN_PROSE_GLUE)

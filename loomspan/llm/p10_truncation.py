@@ -28,15 +28,18 @@ _BULLET = r"(?:[-–—•*·▪]|\d{1,3}[.)])"
 END_LOG_ODDS = {"closed": -20.0, "open": 6.0, "loose": -5.0}
 #: A limit needs this many values that end openly or loosely at it.
 MIN_AT_LIMIT = 3
+#: Characters at the end that say how a text ends; lengths are of whole texts.
+TAIL = 240
 CUT_AT = 0.5
 
 
 def end_kind(text: Column) -> Column:
     """How ``text`` ends: closed, open or loose (null and blank text: closed)."""
-    t = F.regexp_replace(F.rtrim(F.regexp_replace(text, r"\s+$", "")), r"\s+$", "")
+    whole = F.rtrim(text, F.lit(" \n\r\t\u00a0\u2028"))
+    t = F.substring(whole, -TAIL, TAIL)  # the end of a text is in its last line and sentence
     marked = t.rlike(r"(?:…|\.\.\.|[\)\]])$") & t.rlike(r"(?i)" + _MARK)
     stem = F.when(marked, F.regexp_replace(t, r"(?i)" + _MARK, "")).otherwise(t)
-    tail = F.substring(stem, -240, 240)
+    tail = stem
     line = F.regexp_extract(stem, r"([^\n]*)$", 1)
     closed = tail.rlike(r"(?:[.!?。]" + _CLOSE + r"|(?:…|\.\.\.)[\"'”»“’‘›]+)$")
     sentence = tail.rlike(r"[.!?…]" + _CLOSE + r"\s")
@@ -44,7 +47,7 @@ def end_kind(text: Column) -> Column:
     listed = line.rlike(rf"^\s*{_BULLET}\s+\S") | tail.rlike(rf"[.!?]{_CLOSE}\s+{_BULLET}\s+\d[^.!?]*$")
     signed = line.rlike(rf"^\s*(?:[-–—]\s*)?{_NAME}(?:\s+(?:[a-z]{{1,3}}\s+)?{_NAME}){{1,2}}$") & F.instr(stem, "\n").cast("boolean")
     credit = line.rlike(rf"^\s*{_NAME}(?: [\p{{L}}]+)?\s?:\s+{_NAME}(?:[ ,]+{_NAME})*$") | tail.rlike(rf"[.!?]{_CLOSE}\s+{_NAME}\s?:\s+{_NAME}(?:[ ,]+{_NAME})*$")
-    caption = ~sentence & (F.length(stem) <= 90) & (F.instr(stem, "\n") == 0) & ~stem.rlike(r"[,;:–—\-(«“„]$")
+    caption = ~sentence & (F.length(whole) <= 90) & (F.instr(stem, "\n") == 0) & ~stem.rlike(r"[,;:–—\-(«“„]$")
     loose = link | listed | signed | credit | caption
     return F.when(text.isNull() | (t == ""), "closed").when(closed, "closed").when(marked, "open").when(loose, "loose").otherwise("open")
 
