@@ -17,27 +17,30 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import attach_by_key, components
 from loomspan.llm.residue_rules import judge
-from loomspan.llm.simhash import MASK, WORD, Hasher, fingerprint, shingles, table_masks
+from loomspan.llm.simhash import WORD, Hasher, fingerprint, shingles, table_masks
 from loomspan.session import materialize, read_table
 
-MAX_HAMMING = 4
-#: 15 tables, each keyed on about 21 of 64 bits; larger corpora raise both (7, 3: 35 tables of 27 bits).
-BLOCKS, EQUAL = 6, 2
+#: Five-word shingles 0.8 alike differ in 9.7 of 64 bits on average, 0.9 alike in 6.7.
+MAX_HAMMING = 14
+#: 28 tables, each keyed on 16 of the 64 bits. Two texts 0.9 alike meet in a
+#: table with probability 0.91, 0.95 alike with 0.98. A corpus of billions
+#: takes (7, 3): 35 tables of 27 bits, with 0.55 and 0.85.
+BLOCKS, EQUAL = 8, 2
 MIN_SIMILARITY = 0.8
 
 _LABELS = "read_id long, residue boolean, whole boolean, text_key long, fp long"
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
+    hasher = Hasher(mask=True)
     for batch in batches:
         ids, rows = batch.column(0), []
         for text in batch.column(1).to_pylist():
             residue, whole = judge(text)
-            words = hasher.words(WORD.findall(MASK.sub("0", text.lower())))
+            words = hasher.words(WORD.findall(text.lower()))
             s = shingles(words)
             key = int((s * np.arange(1, 2 * len(s) + 1, 2, dtype=np.uint64)).sum().view(np.int64)) if len(s) else 0
-            rows.append((residue, whole, key, fingerprint(words) if len(words) else 0))
+            rows.append((residue, whole, key, fingerprint(s) if len(s) else 0))
         cols = list(zip(*rows)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["read_id", "residue", "whole", "text_key", "fp"])
 
@@ -48,9 +51,9 @@ def label_reads(reads: DataFrame) -> DataFrame:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
+    hasher = Hasher(mask=True)
     for batch in batches:
-        sets = [np.unique(shingles(hasher.words(WORD.findall(MASK.sub("0", t.lower()))))).view(np.int64) for t in batch.column(1).to_pylist()]
+        sets = [np.unique(shingles(hasher.words(WORD.findall(t.lower())))).view(np.int64) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["rep", "sh"])
 
 

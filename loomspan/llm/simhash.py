@@ -9,16 +9,19 @@ from itertools import combinations
 import numpy as np
 
 SHINGLE = 5
-MASK = re.compile(r"[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|org|net)\b|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b|\d+")
 WORD = re.compile(r"\w+")
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
 class Hasher:
-    """Word hashes with a cache; a pure function of the word on every machine."""
+    """Word hashes with a cache; a pure function of the word on every machine.
 
-    def __init__(self) -> None:
+    ``mask``: words with digits (numbers, dates, reference ids) are all one word.
+    """
+
+    def __init__(self, mask: bool = False) -> None:
         self.seen: dict[str, int] = {}
+        self.mask = mask
 
     def words(self, tokens: list[str]) -> np.ndarray:
         seen = self.seen
@@ -28,7 +31,8 @@ class Hasher:
         for t in tokens:
             h = seen.get(t)
             if h is None:
-                h = seen[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+                w = "0" if self.mask and not t.isalpha() and any(c.isdigit() for c in t) else t
+                h = seen[t] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
             out.append(h)
         return np.array(out, dtype=np.uint64)
 
@@ -51,18 +55,17 @@ def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return mix(h)
 
 
-def fingerprint(words: np.ndarray) -> int:
-    """64-bit SimHash over words and word pairs, as a signed long."""
-    f = np.concatenate([mix(words), shingles(words, 2)]) if len(words) > 1 else mix(words)
-    bits = np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(f)).view(np.int64)[0])
+def fingerprint(features: np.ndarray) -> int:
+    """64-bit SimHash of hashed features, as a signed long."""
+    bits = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(np.add.reduce(bits, axis=0, dtype=np.uint32) * 2 > len(features)).view(np.int64)[0])
 
 
 def table_masks(blocks: int, equal: int) -> list[int]:
     """Bit masks of the partitioned tables: every choice of ``equal`` of the ``blocks``.
 
-    Fingerprints within blocks - equal bits of each other agree on at least
-    one of the masks (pigeonhole).
+    Fingerprints within blocks - equal bits of each other always agree on a
+    mask (pigeonhole); others do where their differences fall together.
     """
     edges = np.linspace(0, 64, blocks + 1).astype(int)
     part = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
