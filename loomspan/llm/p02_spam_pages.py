@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.residue_rules import filler_in, judge
+from loomspan.llm.residue_rules import judge
 from loomspan.session import materialize, read_table
 
 BLOCK = 2048
@@ -63,60 +63,58 @@ def blocks(data: bytes, size: int = BLOCK) -> tuple[int, int, int, int]:
     return full, packed, len(rest), len(zlib.compress(rest, 6)) if rest else 0
 
 
+FEATURES = ["lang", "share", "top", "glue", "prose_glue", "distinct", "ends", "words", "longest", "loose_full", "loose_full_c", "loose_tail", "loose_tail_c", "prose_full", "prose_full_c", "prose_tail", "prose_tail_c"]
+FEATURE_TYPES = ["string"] + ["double"] * 4 + ["long"] * 12
+FEATURE_SCHEMA = ", ".join(f"{n} {t}" for n, t in zip(FEATURES, FEATURE_TYPES))
+_ARROW = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
+
+
 def make_profiler():
-    """A function of one text giving its language and block sizes."""
-    end = re.compile(r"[.!?…:;][\"”»“’)\]]*$")
+    """A function of one text giving its FEATURES."""
     inner = re.compile(r"[^\W\d_][.!?…][\"”»“’)]*\s")
-    part = re.compile(r"^(?:[-–—•*·▪]\s*)?\d+\s*[×x]?\s|^[-–—•*·▪]\s")
+    part = re.compile(r"(?:[-–—•*·▪]\s*)?\d+\s*[×x]?\s|[-–—•*·▪]\s")
     word = re.compile(r"[^\W\d_]+")
-    tell = {w: lang for lang in ("pl", "pt", "ru", "es", "fr", "de", "en") for w in FUNCTION_WORDS[lang].split()}
     sets = {lang: frozenset(ws.split()) for lang, ws in FUNCTION_WORDS.items()}
 
     def profile(text: str) -> tuple:
-        lines = [x for x in map(str.strip, text.split("\n")) if x]
         loose, prose = [], []
-        for x in lines:
-            if filler_in(x):
-                continue
-            sentence = end.search(x) or len(inner.findall(x)) >= 1 + len(x) / 200 or part.match(x)
-            (prose if sentence else loose).append(x)
-        low = text.lower()
-        found = [w for w in word.findall(low) if w in tell]
-        lang = max(sets, key=lambda k: sum(w in sets[k] for w in found)) if found else ("ru" if re.search("[а-я]", low) else "xx")
+        for x in text.split("\n"):
+            x = x.strip()
+            if x:
+                sentence = x.rstrip("\"”»“’)]")[-1:] in ".!?…:;" or part.match(x) or len(inner.findall(x)) >= 1 + len(x) / 200
+                (prose if sentence else loose).append(x)
         a, b = "\n".join(loose), "\n".join(prose)
-        total = len(a) + len(b)
-        ws = word.findall(a.lower())
-        count = Counter(ws)
-        top = max(count.values(), default=0) / max(1, len(ws))
+        ws, bs = Counter(word.findall(a.lower())), Counter(word.findall(b.lower()))
+        hits = {lang: sum(ws[w] + bs[w] for w in known) for lang, known in sets.items()}
+        lang = max(hits, key=hits.__getitem__)
+        if not hits[lang]:
+            lang = "ru" if re.search("[а-я]", text) else "xx"
         known = sets.get(lang, frozenset())
-        glue = sum(w in known for w in ws) / max(1, len(ws))
-        bs = word.findall(b.lower())
-        prose_glue = sum(w in known for w in bs) / max(1, len(bs))
-        return (lang, len(a) / total if total else 0.0, top, glue, prose_glue, len(count), len(inner.findall(a)), len(ws), max(map(len, loose), default=0), *blocks(a.encode("utf-8", "replace")), *blocks(b.encode("utf-8", "replace")))
+        n, m, total = ws.total(), bs.total(), len(a) + len(b)
+        return (
+            lang, len(a) / total if total else 0.0, max(ws.values(), default=0) / max(1, n), sum(ws[w] for w in known) / max(1, n), sum(bs[w] for w in known) / max(1, m),
+            len(ws), len(inner.findall(a)), n, max(map(len, loose), default=0), *blocks(a.encode("utf-8", "replace")), *blocks(b.encode("utf-8", "replace")),
+        )
+
+    return profile
 
-    def spare(text: str) -> tuple:
-        # what stands instead of content is problem 1's, however redundant it is
-        return profile("" if judge(text)[1] else text)
 
-    return spare
+def feature_arrays(rows: list[tuple]) -> list[pa.Array]:
+    cols = list(zip(*rows)) if rows else [[]] * len(FEATURES)
+    return [pa.array(c, _ARROW[t]) for c, t in zip(cols, FEATURE_TYPES)]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     profile = make_profiler()
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        rows = [(i, *profile(t)) for i, t in zip(ids, texts)]
-        cols = list(zip(*rows)) if rows else [[] for _ in range(18)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.float64()) for c in cols[2:6]), *(pa.array(c, pa.int64()) for c in cols[6:])],
-            names=["read_id", "lang", "share", "top", "glue", "prose_glue", "distinct", "ends", "words", "longest", "loose_full", "loose_full_c", "loose_tail", "loose_tail_c", "prose_full", "prose_full_c", "prose_tail", "prose_tail_c"],
-        )
+        # what stands instead of content is problem 1's, however redundant it is
+        rows = [profile("" if judge(t)[1] else t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *feature_arrays(rows)], names=["read_id", *FEATURES])
 
 
 def page_features(reads: DataFrame) -> DataFrame:
     texts = reads.select("read_id", "text").filter(F.col("text").isNotNull() & (F.trim("text") != ""))
-    schema = "read_id long, lang string, share double, top double, glue double, prose_glue double, distinct long, ends long, words long, longest long, loose_full long, loose_full_c long, loose_tail long, loose_tail_c long, prose_full long, prose_full_c long, prose_tail long, prose_tail_c long"
-    return texts.mapInArrow(_features, schema)
+    return texts.mapInArrow(_features, "read_id long, " + FEATURE_SCHEMA)
 
 
 def _bin(length):
@@ -144,7 +142,11 @@ def spam_scores(reads: DataFrame) -> DataFrame:
     language and length has no prose in the corpus is measured against the
     general norm 0.2 + 4 / log2(bytes)**1.05, a fit to plain prose.
     """
-    f = materialize(page_features(reads), "p2")
+    return spam_verdicts(materialize(page_features(reads), "p2"))
+
+
+def spam_verdicts(f: DataFrame) -> DataFrame:
+    """The measures and verdicts of profiled texts (read_id and FEATURES)."""
     norms = F.broadcast(prose_norms(f))
     full_n = norms.filter(F.col("bin") == int(2 * math.log2(BLOCK))).select("lang", F.col("ratio").alias("full_ratio"))
     general = lambda n: 0.2 + 4 / F.pow(F.log2(F.greatest(n, F.lit(4)).cast("double")), F.lit(1.05))

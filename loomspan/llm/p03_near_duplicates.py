@@ -29,12 +29,12 @@ DOMAIN = 1 << 18
 BANDS, ROWS = 64, 7
 #: One bit each of SKETCH coordinates travels with every band and drops
 #: pairs that differ in more than MAX_DIFFERENT of them: at similarity 0.7
-#: 9.6 are expected (standard deviation 2.9), at 0.35 it is 20.8.
-SKETCH, MAX_DIFFERENT = 64, 20
+#: 19.2 are expected (standard deviation 4.0), at 0.33 it is 42.9 (5.3).
+SKETCH, MAX_DIFFERENT = 128, 32
 SEED = 20240817
 
 _WORD = re.compile(r"[^\W_]+")
-_SIGNED = "read_id long, n int, set1 long, set2 long, sketch long, bands array<long>"
+_SIGNED = "read_id long, n int, set1 long, set2 long, sketch1 long, sketch2 long, bands array<long>"
 
 
 def permutations(seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +68,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signature(sigma[(h & np.uint64(DOMAIN - 1)).astype(np.int64)], window)
             bands = mix((sig.reshape(BANDS, ROWS).astype(np.uint64) * weights).sum(axis=1) ^ salt)
             sketch = np.packbits((mix(sig[:SKETCH].astype(np.uint64)) >> np.uint64(17)).astype(np.uint8) & 1)
-            rows.append((i, len(words), int(mix(h).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(h * np.uint64(3))).view(np.int64)), int(sketch.view(np.int64)[0]), bands.view(np.int64)))
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        flat = np.concatenate(cols[5]) if rows else np.array([], dtype=np.int64)
-        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(cols[k], pa.int64()) for k in (2, 3, 4))]
+            rows.append((i, len(words), int(mix(h).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(h * np.uint64(3))).view(np.int64)), *map(int, sketch.view(np.int64)), bands.view(np.int64)))
+        cols = list(zip(*rows)) if rows else [[]] * 7
+        flat = np.concatenate(cols[6]) if rows else np.array([], dtype=np.int64)
+        arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(cols[k], pa.int64()) for k in (2, 3, 4, 5))]
         offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS)
-        yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["read_id", "n", "set1", "set2", "sketch", "bands"])
+        yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["read_id", "n", "set1", "set2", "sketch1", "sketch2", "bands"])
 
 
 def sign_reads(reads: DataFrame) -> DataFrame:
@@ -115,13 +115,14 @@ class NearDuplicates:
     def __init__(self, reads: DataFrame) -> None:
         signed = materialize(sign_reads(reads), "p3sig")
         self.members = signed.select("read_id", "n", "set1", "set2").distinct()
-        groups = signed.groupBy("n", "set1", "set2").agg(F.min("read_id").alias("rep"), F.count_distinct("read_id").alias("copies"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        groups = signed.groupBy("n", "set1", "set2").agg(F.min("read_id").alias("rep"), F.count_distinct("read_id").alias("copies"), F.first("sketch1").alias("sketch1"), F.first("sketch2").alias("sketch2"), F.first("bands").alias("bands"))
         classes = materialize(groups, "p3cls")
         self.classes = classes.select("n", "set1", "set2", "rep", "copies")
-        banded = classes.select("rep", "n", "sketch", F.explode("bands").alias("band"))
-        l, r = (banded.select("band", *(F.col(c).alias(c + s) for c in ("rep", "n", "sketch"))) for s in ("_a", "_b"))
+        banded = classes.select("rep", "n", "sketch1", "sketch2", F.explode("bands").alias("band"))
+        l, r = (banded.select("band", *(F.col(c).alias(c + s) for c in ("rep", "n", "sketch1", "sketch2"))) for s in ("_a", "_b"))
         size = (10 * F.col("n_a") >= 7 * F.col("n_b")) & (10 * F.col("n_b") >= 7 * F.col("n_a"))
-        near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= MAX_DIFFERENT
+        differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+        near = differ("sketch1") + differ("sketch2") <= MAX_DIFFERENT
         pairs = l.join(r, "band").filter((F.col("rep_a") < F.col("rep_b")) & size & near).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
         pairs = materialize(pairs, "p3cand")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("read_id")).distinct()
