@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["p01_residue", "p02_spam_pages", "p03_near_duplicates", "p04_encoding", "p05_site_lines", "p06_main_body", "p07_addresses", "p10_truncation"]
+MODULES = ["p01_residue", "p02_spam_pages", "p03_near_duplicates", "p04_encoding", "p05_site_lines", "p06_main_body", "p07_addresses", "p08_packing", "p09_mixing", "p10_truncation"]
 
 
 def queries() -> dict:
