@@ -32,6 +32,16 @@ def attach_by_key(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     return rows.join(F.broadcast(hot), keys).select(*warm.columns).unionByName(warm)
 
 
+#: A semi-join's ids are broadcast up to this many (8 bytes each), shuffled beyond.
+BROADCAST_IDS = 500_000
+
+
+def keep_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Left semi join of wide ``rows`` with distinct ``ids`` whose number is checked first."""
+    ids = materialize(ids, "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected edge list: (node, comp).
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import attach_by_key, components
+from loomspan.llm.common import attach_by_key, components, keep_ids
 from loomspan.llm.residue_rules import judge
 from loomspan.llm.simhash import WORD, Hasher, fingerprint, shingles, table_masks
 from loomspan.session import materialize, read_table
@@ -65,7 +65,7 @@ def near_duplicates(reads: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_HAMMING)).select("a", "b").distinct()
     pairs = materialize(pairs, "p1pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("read_id")).distinct()
-    sets = materialize(reads.select("read_id", "text").filter("text is not null").join(wanted, "read_id", "left_semi").mapInArrow(_shingle_rows, "rep long, sh array<long>"), "p1sets")
+    sets = materialize(keep_ids(reads.select("read_id", "text").filter("text is not null"), wanted, "read_id").mapInArrow(_shingle_rows, "rep long, sh array<long>"), "p1sets")
     j = pairs.join(sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("sh").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return j.filter(common >= MIN_SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
