@@ -130,9 +130,9 @@ class NearDuplicates:
         near = differ("sketch1") + differ("sketch2") <= MAX_DIFFERENT
         pairs = materialize(pairs.join(l, "a").join(r, "b").filter(size & near).select("a", "b"), "p3cand")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("read_id")).distinct()
-        sets = materialize(keep_ids(reads.select("read_id", "text").filter("text is not null"), wanted, "read_id").dropDuplicates(["read_id"]).mapInArrow(_word_rows, "rep long, words array<long>"), "p3sets")
+        sets = materialize(keep_ids(reads.select("read_id", "text").filter("text is not null"), wanted, "read_id").mapInArrow(_word_rows, "rep long, words array<long>"), "p3sets")
         both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
-        self.links = materialize(both.select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long"), "p3links")
+        self.links = materialize(both.select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long").distinct(), "p3links")
 
     def labelled(self) -> DataFrame:
         """(read_id, rep, copies): every read with its class."""
