@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspan.functions import constants as C
+
 _EDGE = r"[\s\p{Z}<>\"'()\[\]{},;.«»“”„‘’`|]"
 
 
@@ -26,3 +28,110 @@ def site_of(url: Column) -> Column:
     host = F.lower(F.regexp_extract(rest, r"^(?:[^/?#@\\]*@)?([^/?#:\\]*)", 1))
     host = F.regexp_replace(host, r"\.+$", "")
     return F.regexp_replace(host, r"^www\.", "")
+
+
+def scheme_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
+
+
+def netloc_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+
+
+def host_of(url: Column) -> Column:
+    """Host name: lower case, without user and port; "" where there is none."""
+    return F.regexp_extract(netloc_of(url), r"^(?:[^@]*@)?([^:]*)", 1)
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+
+
+def query_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+
+
+def _pairs(query: Column) -> Column:
+    return F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(C.TRACKING_PARAMS))
+
+
+def normalize_url(url: Column) -> Column:
+    """Scheme and host lower case, one closing slash off, runs of three or more
+    equal path segments made one, tracking fields and fragment dropped, other
+    fields sorted. What is no absolute url stays as it is."""
+    path = F.regexp_replace(path_of(url), "/$", "")
+    path = F.regexp_replace(path, r"(/[^/]+)\1{2,}(?=/|$)", "$1")
+    query = F.array_join(F.array_sort(_pairs(query_of(url))), "&")
+    out = F.concat(scheme_of(url), F.lit("://"), netloc_of(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(scheme_of(url) == "", url).otherwise(out)
+
+
+def strip_tracking_params(url: Column) -> Column:
+    """Drops tracking fields only; order, bytes and fragment of the rest stay."""
+    query, fragment = query_of(url), F.regexp_extract(url, r"^[^#]*(#.+)$", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: ~F.lower(F.substring_index(p, "=", 1)).isin(C.TRACKING_PARAMS))
+    base = F.substring_index(F.substring_index(url, "#", 1), "?", 1)
+    out = F.concat(base, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""), fragment)
+    return F.when((query == "") | (F.size(kept) == F.size(F.split(query, "&"))), url).otherwise(out)
+
+
+def registrable_domain(host: Column) -> Column:
+    """Last two labels, three under a two-label suffix; IPv4 hosts stay; null gives ""."""
+    h = F.regexp_replace(F.lower(F.trim(F.coalesce(host, F.lit("")))), r"\.+$", "")
+    labels = F.split(h, r"\.")
+    n = F.size(labels)
+    last = lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")
+    two = F.when(n >= 2, last(2)).otherwise(h)
+    return F.when(h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | (n <= 2), h).when(two.isin(C.multi_label_suffixes()), F.when(n >= 3, last(3)).otherwise(h)).otherwise(two)
+
+
+def host_in(host: Column, domains: list[str]) -> Column:
+    """Is the host one of ``domains`` or below one? Dot boundaries, a set lookup per suffix."""
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.exists(suffixes, lambda s: s.isin(domains))
+
+
+def contains_any(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
+def is_ad_url(url: Column) -> Column:
+    """An advertising host, or an advertising word (or its plural) among the words of host and path."""
+    words = F.split(F.lower(F.concat(netloc_of(url), F.lit("/"), path_of(url))), r"[^\p{L}\p{N}_]+")
+    return host_in(host_of(url), C.AD_HOSTS) | F.arrays_overlap(words, F.array(*[F.lit(w + s) for w in C.AD_WORDS for s in ("", "s")]))
+
+
+def is_video_url(url: Column) -> Column:
+    return contains_any(F.lower(url), C.VIDEO_PATTERNS)
+
+
+def is_junk_url(url: Column) -> Column:
+    return host_in(host_of(url), C.AD_HOSTS) | contains_any(F.lower(url), C.JUNK_PATTERNS)
+
+
+def skip_crawl(url: Column) -> Column:
+    """Is the link no page worth a visit: no host, a file, an ad host, a service segment, tracking fields only?"""
+    path, query = F.lower(path_of(url)), query_of(url)
+    segments = F.split(path, "/")
+    keys = F.transform(F.split(query, "&"), lambda p: F.lower(F.substring_index(p, "=", 1)))
+    endings = path.rlike(r"\.(?:" + "|".join(C.FILE_ENDINGS) + ")$")
+    only = (query != "") & F.forall(keys, lambda k: k.isin(C.REDIRECT_KEYS))
+    return F.when((scheme_of(url) == "") | (netloc_of(url) == ""), True).otherwise(endings | host_in(host_of(url), C.AD_HOSTS) | F.arrays_overlap(segments, F.array(*[F.lit(s) for s in C.SKIP_SEGMENTS])) | only)
+
+
+def disposition(url: Column) -> Column:
+    """First reason to drop a search result: blocked, homepage, search, video, ad; else kept."""
+    low, path = F.lower(url), F.regexp_replace(F.lower(path_of(url)), "^/+|/+$", "")
+    return (
+        F.when(host_in(host_of(url), C.BLOCKED_DOMAINS), "blocked").when(path.isin(C.HOME_PATHS), "homepage").when(contains_any(low, C.SEARCH_PATTERNS), "search")
+        .when(is_video_url(url), "video").when(is_ad_url(url), "ad").otherwise("kept")
+    )
+
+
+def url_words(url: Column) -> Column:
+    """Distinct words of at least three letters in the path, in order."""
+    return F.array_distinct(F.filter(F.split(F.lower(path_of(url)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
