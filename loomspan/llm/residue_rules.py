@@ -51,6 +51,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _FIELD_HINT = re.compile(r"[{%_$<@\[&]|goes here|TODO|undefined|null|NaN|\*\|")
 # Stems of which Latin filler always holds some.
 _LATIN_STEMS = ("lorem", "ipsum", "dolor", "amet", "consect", "adipisc", "eiusmod", "nostrud", "ullamco", "labor", "aliqu", "fugiat", "pariatur", "veniam", "volupt")
+# Parts of words of which sample wording always holds some.
+_SAMPLE_HINTS = (
+    "goes here", "text here", "title here", "content here", "headline here", "sample ", "replace ", "short description", "enter ", "to edit", "to add", "placeholder", "first post", "new site", "just another", "coming soon", "under construction",
+    "blindtext", "beispieltext", "platzhalter", "hier steht", "text hier", "texto de", "cámbielo", "su texto", "próximamente", "texte d", "à remplacer", "votre texte", "bientôt", "demnächst", "seu texto", "em breve", "przykład", "twój tekst", "wkrótce", "пример", "ваш текст", "замените", "скоро",
+)
 #: A page with this many characters of sentences outside its messages has content.
 ARTICLE_CHARS = 200
 #: No message line is longer.
@@ -68,16 +73,18 @@ def field_in(line: str) -> bool:
     return False
 
 
-def filler_in(line: str) -> bool:
-    """Is ``line`` filler or sample wording? A sentence that quotes the words is not."""
+def filler_in(line: str, latin: bool = True, sample: bool = True) -> bool:
+    """Is ``line`` filler or sample wording? A sentence that quotes the words is not.
+
+    ``latin`` and ``sample``: whether its text holds any word of these kinds.
+    """
     if _REPEAT.match(line):
         return True
-    low = line.lower()
-    if any(s in low for s in _LATIN_STEMS):
-        words = _WORD.findall(low)
+    if latin:
+        words = _WORD.findall(line.lower())
         if len(words) >= 4 and sum(w in _LATIN for w in words) >= 0.7 * len(words):
             return True
-    if len(line) > 140:
+    if len(line) > 140 or not sample:
         return False
     m = _SAMPLE.search(line)
     return bool(m) and not re.search(r"[“\"„«]", line[: m.start() + 1])
@@ -92,9 +99,11 @@ def judge(text: str) -> tuple[bool, bool]:
     """
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     hints = _FIELD_HINT.search(text) is not None
+    low = text.lower()
+    latin, sample = any(s in low for s in _LATIN_STEMS), any(s in low for s in _SAMPLE_HINTS)
     residue, rest, mass = False, [], 0
     for line in lines:
-        if (hints and field_in(line)) or filler_in(line):
+        if (hints and field_in(line)) or filler_in(line, latin, sample):
             residue = True
         elif len(line) > MESSAGE_CHARS:
             mass += len(line)
