@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = []
+MODULES = ["q_search", "q_urls"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
