@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_search", "q_urls", "q_state"]
+MODULES = ["q_text", "q_search", "q_urls", "q_state"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
