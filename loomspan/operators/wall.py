@@ -34,32 +34,24 @@ def outcomes(log: DataFrame) -> DataFrame:
     return rows.filter("host is not null and host <> '' and ts is not null and kind is not null")
 
 
-def _fold(kinds: list[str], times: list[int]) -> tuple[int, int, int, int, int, int, int, int]:
-    """One run of outcomes as a function of the state before it.
+def fold_run(events: Column) -> Column:
+    """One run of outcomes, in order, as a function of the state before it.
 
     The rung goes through x -> min(hi, max(lo, x + add)), a family closed
     under composition, so runs can be folded apart and joined later.
     """
-    add, lo, hi = 0, 0, C.MAX_RUNG
-    walls, seen_ok, last_wall, last_ok, n_walls = 0, 0, -1, -1, 0
-    for kind, t in zip(kinds, times):
-        if kind == "ok":
-            add, lo, hi = add - 1, max(0, lo - 1), max(0, hi - 1)
-            walls, seen_ok, last_wall, last_ok = 0, 1, -1, t
-        elif kind == "throttle":
-            add, lo, hi = add + 2, min(C.MAX_RUNG, lo + 2), min(C.MAX_RUNG, hi + 2)
-        else:
-            walls, last_wall, n_walls = walls + 1, t, n_walls + 1
-    return add, lo, hi, walls, seen_ok, last_wall, last_ok, n_walls
+    start = F.struct(F.lit(0).alias("add"), F.lit(0).alias("lo"), F.lit(C.MAX_RUNG).alias("hi"), F.lit(0).alias("walls"), F.lit(False).alias("seen_ok"), F.lit(-1).cast("long").alias("last_wall"), F.lit(0).alias("n_walls"), F.lit(0).cast("long").alias("last_ts"), F.lit("").alias("last_kind"))
 
+    def one(s: Column, e: Column) -> Column:
+        ok, wall = e.kind == "ok", e.kind == "wall"
+        d = F.when(ok, -1).when(e.kind == "throttle", 2).otherwise(0)
+        clamp = lambda x: F.least(F.lit(C.MAX_RUNG), F.greatest(F.lit(0), x + d))
+        return F.struct(
+            (s.add + d).alias("add"), clamp(s.lo).alias("lo"), clamp(s.hi).alias("hi"), F.when(ok, 0).otherwise(s.walls + wall.cast("int")).alias("walls"), (s.seen_ok | ok).alias("seen_ok"),
+            F.when(ok, F.lit(-1).cast("long")).when(wall, e.ts).otherwise(s.last_wall).alias("last_wall"), (s.n_walls + wall.cast("int")).alias("n_walls"), e.ts.alias("last_ts"), e.kind.alias("last_kind"),
+        )
 
-_RUN = "host string, run long, add int, lo int, hi int, walls int, seen_ok int, last_wall long, last_ok long, n_walls int, last_ts long, last_kind string"
-
-
-def _fold_run(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "check_id"])
-    kinds, times = pdf["kind"].tolist(), pdf["ts"].tolist()
-    return pd.DataFrame([(pdf["host"].iloc[0], pdf["run"].iloc[0], *_fold(kinds, times), times[-1], kinds[-1])], columns=[c.split()[0] for c in _RUN.split(", ")])
+    return F.aggregate(events, start, one)
 
 
 STATE = "host string, rung int, wall_streak int, boxed_until double, last_seen double, verdict string, n_walls long"
@@ -69,22 +61,19 @@ def box_seconds(streak: int) -> int:
     return min(C.BOX_BASE * 2 ** min(streak - 1, 20), C.BOX_CAP)
 
 
-def join_runs(pdf: pd.DataFrame) -> tuple[int, int, float, float, str, int]:
-    rung, streak, box, total = 0, 0, 0.0, 0
-    for r in pdf.sort_values("run").itertuples():
-        rung = min(r.hi, max(r.lo, rung + r.add))
-        if r.seen_ok:
-            streak, box = 0, 0.0
-        streak += r.walls
-        if r.walls:
-            box = r.last_wall / 1e6 + box_seconds(streak)
-        total += r.n_walls
-        last, kind = r.last_ts / 1e6, r.last_kind
-    return rung, streak, box, last, kind, total
+def join_runs(runs: Column) -> Column:
+    """The state after all runs of a host, in order."""
+    start = F.struct(F.lit(0).alias("rung"), F.lit(0).alias("streak"), F.lit(0.0).alias("box"), F.lit(0.0).alias("last"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("n"))
 
+    def one(s: Column, r: Column) -> Column:
+        streak = F.when(r.seen_ok, 0).otherwise(s.streak) + r.walls
+        seconds = F.least(C.BOX_BASE * F.pow(F.lit(2.0), F.least(streak - 1, F.lit(20))), F.lit(float(C.BOX_CAP)))
+        box = F.when(r.walls > 0, r.last_wall / 1e6 + seconds).when(r.seen_ok, 0.0).otherwise(s.box)
+        return F.struct(
+            F.least(r.hi, F.greatest(r.lo, s.rung + r.add)).alias("rung"), streak.alias("streak"), box.alias("box"), (r.last_ts / 1e6).alias("last"), r.last_kind.alias("kind"), (s.n + r.n_walls).alias("n"),
+        )
 
-def _join(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([(pdf["host"].iloc[0], *join_runs(pdf))], columns=[c.split()[0] for c in STATE.split(", ")])
+    return F.aggregate(runs, start, one)
 
 
 def wall_states(log: DataFrame, run_hours: int = 6) -> DataFrame:
@@ -96,10 +85,10 @@ def wall_states(log: DataFrame, run_hours: int = 6) -> DataFrame:
     are left out, as the memory never learns of them.
     """
     rows = outcomes(log).withColumn("run", F.floor(F.col("ts") / (run_hours * 3_600_000_000)))
-    runs = rows.groupBy("host", "run").applyInPandas(_fold_run, _RUN)
-    states = runs.groupBy("host").applyInPandas(_join, STATE)
-    known = rows.filter("kind <> 'ok'").select("host").distinct()
-    return states.join(known, "host", "left_semi")
+    runs = rows.groupBy("host", "run").agg(fold_run(F.array_sort(F.collect_list(F.struct("ts", "check_id", "kind")))).alias("f"), F.max(F.col("kind") != "ok").alias("bad"))
+    hosts = runs.groupBy("host").agg(join_runs(F.transform(F.array_sort(F.collect_list(F.struct("run", "f"))), lambda r: r.f)).alias("s"), F.max("bad").alias("bad"))
+    s = F.col("s")
+    return hosts.filter("bad").select("host", s.rung.alias("rung"), s.streak.alias("wall_streak"), s.box.alias("boxed_until"), s["last"].alias("last_seen"), s.kind.alias("verdict"), s.n.alias("n_walls"))
 
 
 def step(state: tuple[int, int, float, float, str, int] | None, kind: str, ts: float) -> tuple[int, int, float, float, str, int] | None:
