@@ -41,4 +41,4 @@ def retry_after(value: Column, now: Column) -> Column:
     """Seconds to wait from a Retry-After header: a number or a date, never negative; null if neither."""
     when = F.try_to_timestamp(F.regexp_extract(F.trim(value), r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
     seconds = F.coalesce(F.trim(value).try_cast("double"), (F.unix_seconds(when) - F.unix_seconds(now)).cast("double"))
-    return F.greatest(seconds, F.lit(0.0))
+    return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)))
