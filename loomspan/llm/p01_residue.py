@@ -47,7 +47,7 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def label_reads(reads: DataFrame) -> DataFrame:
     """Per non-empty text: trusted labels, a key equal for texts equal but for numbers, and the SimHash."""
-    return reads.select("read_id", "text").filter(F.col("text").isNotNull() & (F.trim("text") != "")).mapInArrow(_label, _LABELS)
+    return reads.select("read_id", "text").filter(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).mapInArrow(_label, _LABELS)
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

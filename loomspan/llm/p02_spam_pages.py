@@ -113,7 +113,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def page_features(reads: DataFrame) -> DataFrame:
-    texts = reads.select("read_id", "text").filter(F.col("text").isNotNull() & (F.trim("text") != ""))
+    texts = reads.select("read_id", "text").filter(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
     return texts.mapInArrow(_features, "read_id long, " + FEATURE_SCHEMA)
 
 

@@ -30,11 +30,17 @@ END_LOG_ODDS = {"closed": -20.0, "open": 6.0, "loose": -5.0}
 MIN_AT_LIMIT = 3
 #: Characters at the end that say how a text ends; lengths are of whole texts.
 TAIL = 240
+CAPTION = 64
 CUT_AT = 0.5
 
 
-def end_kind(text: Column) -> Column:
-    """How ``text`` ends: closed, open or loose (null and blank text: closed)."""
+def end_kind(text: Column, title: Column | None = None) -> Column:
+    """How ``text`` ends: closed, open or loose (null and blank text: closed).
+
+    A text that is its title, or one unended line of at most CAPTION
+    characters, is a caption; captions, links, signatures, credits and list
+    items end loosely.
+    """
     whole = F.rtrim(text, F.lit(" \n\r\t\u00a0\u2028"))
     t = F.substring(whole, -TAIL, TAIL)  # the end of a text is in its last line and sentence
     marked = t.rlike(r"(?:…|\.\.\.|[\)\]])$") & t.rlike(r"(?i)" + _MARK)
@@ -47,7 +53,8 @@ def end_kind(text: Column) -> Column:
     listed = line.rlike(rf"^\s*{_BULLET}\s+\S") | tail.rlike(rf"[.!?]{_CLOSE}\s+{_BULLET}\s+\d[^.!?]*$")
     signed = line.rlike(rf"^\s*(?:[-–—]\s*)?{_NAME}(?:\s+(?:[a-z]{{1,3}}\s+)?{_NAME}){{1,2}}$") & F.instr(stem, "\n").cast("boolean")
     credit = line.rlike(rf"^\s*{_NAME}(?: [\p{{L}}]+)?\s?:\s+{_NAME}(?:[ ,]+{_NAME})*$") | tail.rlike(rf"[.!?]{_CLOSE}\s+{_NAME}\s?:\s+{_NAME}(?:[ ,]+{_NAME})*$")
-    caption = ~sentence & (F.length(whole) <= 90) & (F.instr(stem, "\n") == 0) & ~stem.rlike(r"[,;:–—\-(«“„]$")
+    named = F.coalesce(F.trim(title) == F.trim(whole), F.lit(False)) if title is not None else F.lit(False)
+    caption = ~sentence & (named | (F.length(whole) <= CAPTION)) & (F.instr(stem, "\n") == 0) & ~stem.rlike(r"[,;:–—\-(«“„]$")
     loose = link | listed | signed | credit | caption
     return F.when(text.isNull() | (t == ""), "closed").when(closed, "closed").when(marked, "open").when(loose, "loose").otherwise("open")
 
@@ -134,7 +141,8 @@ def truncation_scores(docs: DataFrame) -> DataFrame:
     Null or blank texts are never cut; a null source is a source of its own;
     repeated rows are scored alike; extra columns are ignored.
     """
-    ends = docs.select("doc_id", F.coalesce("source", F.lit("\u0000")).alias("source"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), end_kind(F.col("text")).alias("kind")).filter(F.col("chars").isNotNull())
+    title = F.col("title") if "title" in docs.columns else None
+    ends = docs.select("doc_id", F.coalesce("source", F.lit("\u0000")).alias("source"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), end_kind(F.col("text"), title).alias("kind")).filter(F.col("chars").isNotNull())
     ends = materialize(ends, "p10")
     limits = materialize(source_limits(length_histogram(ends)), "p10lim")
     # a source has at most 1 / MIN_AT_LIMIT of its rows as limits; shuffle join on (source, length) spreads a hot source by length
