@@ -19,14 +19,14 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query: str
     """
     terms = queries.select(F.col(query).alias("query")).filter("query is not null").distinct().select("query", F.explode(F.array_distinct(retrieval_tokens(F.col("query")))).alias("term"))
     d = docs.select(F.col(doc_id).alias("doc_id"), retrieval_tokens(F.col(text)).alias("tokens"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
+    stats = d.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()  # one row, two numbers
     wanted = terms.select("term").distinct()
     tf = d.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # one row of statistics and one row per query term: bounded by the queries
-    weights = terms.join(df, "term").join(F.broadcast(stats)).select("query", "term", "avgdl", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
+    idf = F.log(1 + (F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # one row per query term: bounded by the queries
+    weights = terms.join(df, "term").select("query", "term", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.lit(stats.avgdl or 1.0)))
     scores = tf.join(F.broadcast(weights), "term").groupBy("query", "doc_id").agg(F.sum(part).alias("score"))
     if top_k is None:
         return scores

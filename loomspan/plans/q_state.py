@@ -26,8 +26,8 @@ def wall_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wall_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The remembered hosts at the time of the newest entry: allowed, and after what wait."""
     states = read_table(spark, sf_dir, "wall_state")
-    now = states.agg(F.max("last_seen").alias("now"))  # one row
-    return W.gate(states.join(F.broadcast(now)), F.col("now"))
+    now = states.agg(F.max("last_seen")).first()[0]
+    return W.gate(states, F.lit(now))
 
 
 def page_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,10 +86,11 @@ def probe_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.filter("title is not null").select("read_id", F.when(walled, F.lit(None).cast("boolean")).otherwise((claim != "") & text.contains(claim)).alias("match"))
 
 
-def running_budget(spark: SparkSession, sf_dir: str, budget: int = 28_000) -> DataFrame:
-    """Per query the best urls until their snippets fill the budget; the first always stays."""
+def running_budget(spark: SparkSession, sf_dir: str, budget: int = 28_000, pages: int = 500) -> DataFrame:
+    """Per query the best urls, at most ``pages``, until their snippets fill the budget; the first always stays."""
     w = Window.partitionBy("search_query").orderBy(F.desc("score"), "url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = combined(spark, sf_dir).withColumn("used", F.sum(F.coalesce(F.length("snippet"), F.lit(0))).over(w)).withColumn("pos", F.row_number().over(Window.partitionBy("search_query").orderBy(F.desc("score"), "url")))
+    top = combined(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("search_query").orderBy(F.desc("score"), "url"))).filter(F.col("pos") <= pages)
+    rows = top.withColumn("used", F.sum(F.coalesce(F.length("snippet"), F.lit(0))).over(w))
     return rows.filter((F.col("used") <= budget) | (F.col("pos") == 1)).select("search_query", "url", F.col("used").cast("long").alias("used"))
 
 
@@ -154,7 +155,7 @@ SQL = {
     "link_expand_score": f"""WITH x AS (SELECT read_id, l.handle AS handle, list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: len(w) >= 3)) AS q, lower(coalesce(l.text, '')) AS a, lower(coalesce(l.url, '')) AS h FROM {_LINKS})
  SELECT read_id, handle, 2 * len(list_filter(q, lambda w: contains(a, w))) + len(list_filter(q, lambda w: contains(h, w))) AS score FROM x WHERE 2 * len(list_filter(q, lambda w: contains(a, w))) + len(list_filter(q, lambda w: contains(h, w))) > 0""",
     "running_budget_stop": f"""{_COMB}, s AS (SELECT search_query, url, max(snippet) AS snippet FROM r GROUP BY ALL), k AS (SELECT c.search_query, c.url, sum(coalesce(len(snippet), 0)) OVER w AS used, row_number() OVER w AS pos FROM c JOIN s USING (search_query, url)
- WINDOW w AS (PARTITION BY c.search_query ORDER BY score DESC, c.url ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT search_query, url, used::BIGINT AS used FROM k WHERE used <= 28000 OR pos = 1""",
+ WINDOW w AS (PARTITION BY c.search_query ORDER BY score DESC, c.url ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT search_query, url, used::BIGINT AS used FROM k WHERE (used <= 28000 OR pos = 1) AND pos <= 500""",
     "probe_claim": f"""WITH x AS (SELECT read_id, {STATE_SQL['page_block_type'].split('SELECT ', 1)[1].split(' AS by_text')[0]} AS wall, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS t, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS c
  FROM webtools_bridge WHERE title IS NOT NULL) SELECT read_id, CASE WHEN wall IS NULL THEN c <> '' AND contains(t, c) END AS match FROM x""",
     "link_anti_known": f"""WITH n AS ({URL_SQL['url_normalize'].replace('serp_id', 'k').replace('FROM serp', "FROM (SELECT DISTINCT trim(url) AS url, trim(url) AS k FROM (SELECT url FROM webtools_bridge UNION ALL SELECT l.url FROM " + _LINKS + ") WHERE url IS NOT NULL)")}),
