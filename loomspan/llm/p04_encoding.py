@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from loomspan.session import read_table
 
-#: Bound of the training sample: texts taken per table and per script.
-SAMPLE_TEXTS = 160
+#: Bound of the training sample: texts taken per table, and as many in rarer scripts.
+SAMPLE_TEXTS = 200
 BINS = 1 << 14
 SMOOTH = 0.05
 #: A line is garbled if its chain beats "clean" by this many nats, ...
@@ -241,20 +241,27 @@ def _repair(logp: np.ndarray, with_text: bool):
     return run
 
 
-def training_lines(spark_tables: list[DataFrame], per_stratum: int = SAMPLE_TEXTS) -> list[str]:
-    """Lines of a bounded sample: per table and script the texts with the smallest hashes.
+# What texts in scripts and languages that may be rare look like.
+_RARE = r"[а-я]{3}.*[а-я]{4} (?:и|в|на|не) |[ąęłżśćń].*(?: się | na | za | od )|ção|ções| não "
 
-    At most 4 * per_stratum texts a table, drawn independently of the
-    corpus's size; everything else covers all rows.
+
+def training_lines(tables: list[DataFrame], texts: int = SAMPLE_TEXTS) -> list[str]:
+    """Lines of a bounded sample, one scan a table.
+
+    Of each table about ``texts`` texts, and as many of those in Cyrillic,
+    Polish or Portuguese, by the hash of the text; at most four times as
+    many are taken. Everything else covers all rows.
     """
     out: list[str] = []
-    for df in spark_tables:
+    for df in tables:
         t = df.select("text").filter(F.col("text").isNotNull())
-        h = F.xxhash64("text")
-        for pattern, share in ((None, 1.0), (r"[а-я]{3}.*[а-я]{4} (?:и|в|на|не) ", 0.5), (r"[ąęłżśćń].*(?: się | na | za | od )", 0.5), (r"(?:ção|ções| não | é ).*", 0.5)):
-            part = t if pattern is None else t.filter(F.col("text").rlike(pattern))
-            for r in part.orderBy(h, "text").limit(int(per_stratum * share)).collect():
-                out.extend(r.text.split("\n"))
+        n = max(1, df.count())  # from the files' footers
+        u = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
+        # rare scripts are looked for in sixteen times the sample
+        pick = (u < texts / n) | ((u < min(1.0, 16 * texts / n)) & F.col("text").rlike(_RARE))
+        rows = t.filter(pick).orderBy(F.xxhash64("text")).limit(4 * texts).collect()
+        for r in rows:
+            out.extend(r.text.split("\n"))
     return out
 
 
