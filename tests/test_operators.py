@@ -126,3 +126,33 @@ def test_gunzip_limits(n):
     import gzip
 
     assert feeds.gunzip(gzip.compress(b"y" * 5000)) == b"y" * 5000
+
+
+def test_hamming_pairs_equal_brute_force(spark):
+    from loomspan.operators.hamming import difference_hash, hamming_pairs
+
+    rng = random.Random(9)
+    base = [rng.getrandbits(63) for _ in range(20)]
+    rows = [(i, base[i % 20] ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(12)))) for i in range(100)] + [(100, base[0]), (101, base[0]), (102, None)]
+    got = {(r.a, r.b): r.distance for r in hamming_pairs(spark.createDataFrame(rows, "id long, fp long"), "id", "fp").collect()}
+    first: dict = {}
+    for i, f in rows:
+        if f is not None:
+            first.setdefault(f, i)
+    want = {(first[f], i): 0 for i, f in rows if f is not None and first[f] != i}
+    for (f, i), (g, j) in itertools.combinations(first.items(), 2):
+        if bin(f ^ g).count("1") <= 8:
+            want[tuple(sorted((i, j)))] = bin(f ^ g).count("1")
+    assert got == want
+    pixels = [list(range(72)), [5] * 72, [1]]
+    hashes = [r[0] for r in spark.createDataFrame([(p,) for p in pixels], "p array<int>").select(difference_hash(F.col("p"))).collect()]
+    assert hashes == [-1, 0, None]
+
+
+def test_rewrite_rules(spark):
+    from loomspan.operators.rules import rewrite_urls
+
+    rules = spark.createDataFrame([(1, "a.test", r"^https://a\.test/t/(\d+)$", "https://a.test/full/$1"), (2, None, r"_small\.jpg$", ".jpg"), (3, "a.test", "x", "y")], "rule_id int, domain string, pattern string, target string")
+    urls = spark.createDataFrame([("https://a.test/t/7",), ("https://img.a.test/x",), ("https://b.test/p_small.jpg",), ("https://b.test/",), (None,)], "url string")
+    got = {r.url: (r.rule_id, r.rewritten) for r in rewrite_urls(urls, rules).collect()}
+    assert got == {"https://a.test/t/7": (1, "https://a.test/full/7"), "https://img.a.test/x": (3, "https://img.a.test/y"), "https://b.test/p_small.jpg": (2, "https://b.test/p.jpg"), "https://b.test/": (None, None), None: (None, None)}
