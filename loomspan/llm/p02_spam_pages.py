@@ -84,16 +84,20 @@ def make_profiler():
                 sentence = x.rstrip("\"”»“’)]")[-1:] in ".!?…:;" or part.match(x) or len(inner.findall(x)) >= 1 + len(x) / 200
                 (prose if sentence else loose).append(x)
         a, b = "\n".join(loose), "\n".join(prose)
-        ws, bs = Counter(word.findall(a.lower())), Counter(word.findall(b.lower()))
-        hits = {lang: sum(ws[w] + bs[w] for w in known) for lang, known in sets.items()}
+        # function words stand free, so the prose needs no pattern
+        ws, bs = Counter(word.findall(a.lower())), Counter(b.lower().split())
+        count = lambda bag, known: sum(bag[w] for w in known & bag.keys())
+        hits = {lang: count(ws, known) + count(bs, known) for lang, known in sets.items()}
         lang = max(hits, key=hits.__getitem__)
         if not hits[lang]:
             lang = "ru" if re.search("[а-я]", text) else "xx"
         known = sets.get(lang, frozenset())
         n, m, total = ws.total(), bs.total(), len(a) + len(b)
+        loose_bytes, prose_bytes = a.encode("utf-8", "replace"), b.encode("utf-8", "replace")
+        plain = lang == "ru" or len(prose_bytes) < 1.3 * len(b)  # else garbled, whatever it repeats
         return (
-            lang, len(a) / total if total else 0.0, max(ws.values(), default=0) / max(1, n), sum(ws[w] for w in known) / max(1, n), sum(bs[w] for w in known) / max(1, m),
-            len(ws), len(inner.findall(a)), n, max(map(len, loose), default=0), *blocks(a.encode("utf-8", "replace")), *blocks(b.encode("utf-8", "replace")),
+            lang, len(a) / total if total else 0.0, max(ws.values(), default=0) / max(1, n), count(ws, known) / max(1, n), count(bs, known) / max(1, m) if plain else 0.0,
+            len(ws), len(inner.findall(a)), n, max(map(len, loose), default=0), *blocks(loose_bytes), *blocks(prose_bytes),
         )
 
     return profile
