@@ -73,7 +73,7 @@ def make_profiler():
     """A function of one text giving its FEATURES."""
     inner = re.compile(r"[^\W\d_][.!?…][\"”»“’)]*\s")
     part = re.compile(r"(?:[-–—•*·▪]\s*)?\d+\s*[×x]?\s|[-–—•*·▪]\s")
-    word = re.compile(r"[^\W\d_]+")
+    word, cyrillic = re.compile(r"[^\W\d_]+"), re.compile("[Ѐ-ӿ]")
     sets = {lang: frozenset(ws.split()) for lang, ws in FUNCTION_WORDS.items()}
 
     def profile(text: str) -> tuple:
@@ -94,7 +94,9 @@ def make_profiler():
         known = sets.get(lang, frozenset())
         n, m, total = ws.total(), bs.total(), len(a) + len(b)
         loose_bytes, prose_bytes = a.encode("utf-8", "replace"), b.encode("utf-8", "replace")
-        plain = lang == "ru" or len(prose_bytes) < 1.3 * len(b)  # else garbled, whatever it repeats
+        other = len(b) - len(b.encode("ascii", "ignore"))
+        # garbled text repeats itself too: mostly signs and letters that no language here has in such numbers
+        plain = other <= 0.25 * len(b) or other - len(cyrillic.findall(b)) <= 0.25 * len(b)
         return (
             lang, len(a) / total if total else 0.0, max(ws.values(), default=0) / max(1, n), count(ws, known) / max(1, n), count(bs, known) / max(1, m) if plain else 0.0,
             len(ws), len(inner.findall(a)), n, max(map(len, loose), default=0), *blocks(loose_bytes), *blocks(prose_bytes),
