@@ -1,14 +1,16 @@
-"""Ordered greedy selectors, per query and after the candidates were cut to a top-k."""
+"""Ordered greedy selectors per query; only rows that provably cannot be chosen are cut before."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import constants as C
+from loomspan.operators.simjoin import similar_pairs
+from loomspan.session import materialize
 
 
 def jaccard(a: frozenset, b: frozenset) -> float:
@@ -99,14 +101,94 @@ def until_saturated(sets: list[frozenset], threshold: float = 0.7, patience: int
     return kept
 
 
-def select_per_query(rows: DataFrame, query: str, order: list, top: int, choose: Callable[[pd.DataFrame], Iterable[int]], columns: str) -> DataFrame:
-    """Apply ``choose`` to the ``top`` best rows of each query; keeps the chosen in order with their rank.
+def mmr_candidates(rows: DataFrame, query: str, order: list, rel: str, same: list[str], k: int, lam: float = C.MMR_LAMBDA, weight: float = 0.15) -> DataFrame:
+    """``rows`` without those that ``mmr`` can never choose as one of ``k``.
 
-    The cut happens before the rows are grouped, so a query that holds a
-    third of all rows still sends ``top`` rows to its task.
+    While fewer than k are chosen, one of the k rows of highest relevance is
+    left and scores at least lam * rel - (1 - lam); a row scores at most
+    lam * rel + weight. Of rows with equal ``same`` columns (aspect and
+    texts) the earlier always goes first, so k of them are enough.
+    """
+    top = rows.select(query, rel).withColumn("k", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(rel)))).filter(F.col("k") <= k)
+    least = top.groupBy(query).agg((F.min(rel) - (1 - lam + weight) / lam - 1e-9).alias("least"))
+    near = rows.join(least, query).filter(F.col(rel) >= F.col("least")).drop("least")
+    return near.withColumn("k", F.row_number().over(Window.partitionBy(query, *same).orderBy(*order))).filter(F.col("k") <= k).drop("k")
+
+
+def fill_candidates(rows: DataFrame, query: str, order: list, size: Column, per_item: int, most: int) -> DataFrame:
+    """``rows`` without those that ``fill_skipping`` can never choose.
+
+    What is left of the budget only shrinks: after an item that did not fit,
+    none of its size fits, so the first ``most`` of each size are enough.
+    """
+    sized = rows.withColumn("size", F.least(size, F.lit(per_item)))
+    return sized.withColumn("k", F.row_number().over(Window.partitionBy(query, "size").orderBy(*order))).filter(F.col("k") <= most).drop("k", "size")
+
+
+def _dropped(links: DataFrame) -> DataFrame:
+    """Nodes ``b`` that the greedy order drops, of links (a, b), a before b.
+
+    Every round the nodes without an open earlier neighbour are kept and
+    drop their later neighbours; links of dropped nodes are closed. The
+    first open node is decided in every round, so the rounds end.
+    """
+    out, links = [], materialize(links, "greedy")
+    while links.take(1):
+        first = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = materialize(links.join(first, "a", "left_semi").select("b").distinct(), "greedyd")
+        out.append(gone)
+        links = materialize(links.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"), "greedy")
+    none = links.select("b").limit(0)
+    for part in out:
+        none = none.unionByName(part)
+    return none
+
+
+def distinct_per_query(rows: DataFrame, query: str, order: list, tokens: Column, text: Column | None, threshold: float) -> DataFrame:
+    """``greedy_distinct`` over all rows of every query: the kept ones with their position ``pos`` in the query's order.
+
+    The similar pairs come from the exact join (tokens carry their query, so
+    only rows of one query meet); the greedy order is resolved over them. No
+    task holds a query's rows, whatever their number. Rows without tokens
+    stay unless the same ``text`` was kept; without ``text`` none stays.
+    """
+    ranked = rows.withColumn("pos", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
+    ranked = materialize(ranked.withColumn("t", F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(F.col(query), w)))).withColumn("said", F.lit("") if text is None else text), "ranked")
+    if threshold >= 1:
+        return ranked.drop("t", "said")
+    pairs = materialize(similar_pairs(ranked.select(F.struct(query, "pos").alias("id"), "t"), "id", "t", threshold), "pairs")
+    # an equal set shares the fate of its first row or is dropped by it: gone either way
+    equal = pairs.filter("similarity = 1").select("b")
+    gone = equal.unionByName(_dropped(pairs.filter("similarity < 1").select("a", "b"))).select(F.col(f"b.{query}").alias(query), F.col("b.pos").alias("pos"))
+    kept = ranked.filter(F.size("t") > 0).join(gone, [query, "pos"], "left_anti")
+    if text is None:
+        return kept.drop("t", "said")
+    bare = ranked.filter(F.size("t") == 0)
+    both = kept.select(query, "said", "pos", F.lit(False).alias("bare")).unionByName(bare.select(query, "said", "pos", F.lit(True).alias("bare")))
+    first = both.groupBy(query, "said").agg(F.min(F.struct("pos", "bare")).alias("m")).filter("m.bare").select(query, F.col("m.pos").alias("pos"))
+    return kept.unionByName(bare.join(first, [query, "pos"], "left_semi").select(*kept.columns)).drop("t", "said")
+
+
+def quota_per_query(kept: DataFrame, query: str, source: str, limit: int, per_source: int) -> DataFrame:
+    """``quota_fill`` of rows in the order of ``pos``: the chosen ones with their ``rank``."""
+    late = F.row_number().over(Window.partitionBy(query, source).orderBy("pos")) > per_source
+    return kept.withColumn("late", late).withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("late", "pos"))).filter(F.col("rank") <= limit).drop("late")
+
+
+def saturated_per_query(kept: DataFrame, query: str, patience: int = 3) -> DataFrame:
+    """``until_saturated`` of distinct rows with their ``pos``: those before the first ``patience`` positions in a row that none of them has."""
+    w = Window.partitionBy(query).orderBy("pos")
+    idle = F.col("pos") - F.lag("pos", 1, 0).over(w) - 1 >= patience
+    return kept.withColumn("idle", idle).withColumn("over", F.max("idle").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("not over").drop("idle", "over")
+
+
+def select_per_query(rows: DataFrame, query: str, order: list, choose: Callable[[pd.DataFrame], Iterable[int]], columns: str) -> DataFrame:
+    """Apply ``choose`` to all rows of each query; keeps the chosen in order with their rank.
+
+    A query's rows meet in one task, so ``rows`` should hold only those that
+    the selector may choose (``mmr_candidates``, ``fill_candidates``).
     """
     rank = F.row_number().over(Window.partitionBy(query).orderBy(*order))
-    cut = rows.withColumn("pos", rank).filter(F.col("pos") <= top)
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -115,4 +197,4 @@ def select_per_query(rows: DataFrame, query: str, order: list, top: int, choose:
         out["rank"] = range(1, len(out) + 1)
         return out[names]
 
-    return cut.groupBy(query).applyInPandas(run, columns)
+    return rows.withColumn("pos", rank).groupBy(query).applyInPandas(run, columns)

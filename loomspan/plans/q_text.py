@@ -103,19 +103,45 @@ def _sets(pdf: pd.DataFrame) -> list[frozenset]:
     return [frozenset(re.findall(r"[\w./:#-]+", f"{t or ''} {s or ''}".lower())) for t, s in zip(pdf["title"], pdf["snippet"])]
 
 
-def _greedy(choose, top: int = 200):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = combined(spark, sf_dir).withColumn("domain", U.registrable_domain(U.host_of(F.col("url"))))
-        return L.select_per_query(rows, "search_query", [F.desc("score"), "url"], top, choose, _COLS)
+def _best() -> list:
+    return [F.desc("score"), "url"]
 
-    return query
 
+def _distinct(spark: SparkSession, sf_dir: str, said, threshold: float) -> DataFrame:
+    tokens = X.retrieval_tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))))
+    return L.distinct_per_query(combined(spark, sf_dir).select("search_query", "url", "score", "title", "snippet"), "search_query", _best(), tokens, said, threshold)
 
-jaccard_greedy_dedup = _greedy(lambda p: L.greedy_distinct(_sets(p), [f"{t} {s}" for t, s in zip(p["title"], p["snippet"])], 0.85))
-mmr_select = _greedy(lambda p: L.mmr(p["score"].tolist(), _sets(p), p["aspect"].tolist(), 18))
-quota_fill = _greedy(lambda p: L.quota_fill(L.greedy_distinct(_sets(p), p["snippet"].astype(str).tolist(), 0.92), p["domain"].tolist(), 20, 2))
-budget_skip_fill = _greedy(lambda p: L.fill_skipping([len(s or "") for s in p["snippet"]], 2_800, 1_500, 18))
-saturation_stop = _greedy(lambda p: L.until_saturated(_sets(p)))
+
+def jaccard_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results of each query, best first, without those at least 0.85 like a kept one."""
+    kept = _distinct(spark, sf_dir, F.concat_ws(" ", F.coalesce("title", F.lit("None")), F.coalesce("snippet", F.lit("None"))), 0.85)
+    return kept.select("search_query", "url", "score", F.row_number().over(Window.partitionBy("search_query").orderBy("pos")).alias("rank"))
+
+
+def quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty distinct results of each query, two of a domain before the rest."""
+    kept = _distinct(spark, sf_dir, F.coalesce("snippet", F.lit("None")), 0.92).withColumn("domain", U.registrable_domain(U.host_of(F.col("url"))))
+    return L.quota_per_query(kept, "search_query", "domain", 20, 2).select("search_query", "url", "score", "rank")
+
+
+def _diverse(rows: DataFrame, k: int = 18) -> DataFrame:
+    near = L.mmr_candidates(rows, "search_query", _best(), "score", ["aspect", "title", "snippet"], k)
+    return L.select_per_query(near, "search_query", _best(), lambda p: L.mmr(p["score"].tolist(), _sets(p), p["aspect"].tolist(), k), _COLS)
+
+
+def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diverse(combined(spark, sf_dir))
+
+
+def budget_skip_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.fill_candidates(combined(spark, sf_dir), "search_query", _best(), F.coalesce(F.length("snippet"), F.lit(0)), 1_500, 18)
+    return L.select_per_query(rows, "search_query", _best(), lambda p: L.fill_skipping([len(s or "") for s in p["snippet"]], 2_800, 1_500, 18), _COLS)
+
+
+def saturation_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of each query, best first, that are less than 0.7 like any before, until three in a row are not."""
+    kept = L.saturated_per_query(_distinct(spark, sf_dir, None, 0.7), "search_query")
+    return kept.select("search_query", "url", "score", F.row_number().over(Window.partitionBy("search_query").orderBy("pos")).alias("rank"))
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +156,7 @@ def compact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = read_table(spark, sf_dir, "webtools_bridge").filter("url is not null and text is not null")
     reads = reads.select(U.normalize_url(F.trim("url")).alias("u"), F.struct((~X.challenge_kind(F.col("text")).isNotNull()).alias("open"), "read_at", "read_id", F.length("text").alias("chars"), "text").alias("r")).groupBy("u").agg(F.max("r").alias("r"))
     top = combined(spark, sf_dir).filter("alive")
-    picked = L.select_per_query(top, "search_query", [F.desc("score"), "url"], 60, lambda p: L.mmr(p["score"].tolist(), _sets(p), p["aspect"].tolist(), 18), _COLS)
+    picked = _diverse(top)
     j = picked.withColumn("u", U.normalize_url(F.col("url"))).join(reads, "u", "left")
     return j.select("search_query", "rank", "url", "score", F.col("r.read_id").alias("read_id"), F.col("r.chars").alias("chars"), F.bround(S.content_relevance(F.col("search_query"), F.col("r.text")), 2).alias("relevance"))
 

@@ -156,3 +156,39 @@ def test_rewrite_rules(spark):
     urls = spark.createDataFrame([("https://a.test/t/7",), ("https://img.a.test/x",), ("https://b.test/p_small.jpg",), ("https://b.test/",), (None,)], "url string")
     got = {r.url: (r.rule_id, r.rewritten) for r in rewrite_urls(urls, rules).collect()}
     assert got == {"https://a.test/t/7": (1, "https://a.test/full/7"), "https://img.a.test/x": (3, "https://img.a.test/y"), "https://b.test/p_small.jpg": (2, "https://b.test/p.jpg"), "https://b.test/": (None, None), None: (None, None)}
+
+
+def test_selectors_see_all_rows_of_a_query(spark):
+    rng = random.Random(5)
+    base = [rng.sample(range(300), 14) for _ in range(120)]
+    words = [sorted(set(rng.choice(base)[: rng.randint(11, 14)] + rng.sample(range(300), 1))) for _ in range(450)]
+    rows = [(q, f"u{i:03}", float(1000 - i) / 1000, " ".join(map(str, w)) if i % 90 else "", f"d{i % 7}", "x" * ((i * 37) % 400 if i < 440 else 0)) for q in "ab" for i, w in enumerate(words[: 450 if q == "a" else 40])]
+    df = spark.createDataFrame(rows, "q string, url string, score double, body string, domain string, snippet string")
+    order, tokens = [F.desc("score"), "url"], F.split(F.trim("body"), " ")
+    tokens = F.filter(tokens, lambda w: w != "")
+    sets = {q: [frozenset(r[3].split()) for r in rows if r[0] == q] for q in "ab"}
+    texts = {q: [r[3] for r in rows if r[0] == q] for q in "ab"}
+    for threshold in (0.7, 0.85):
+        got = L.distinct_per_query(df, "q", order, tokens, F.col("body"), threshold)
+        want = {(q, i + 1) for q in "ab" for i in L.greedy_distinct(sets[q], texts[q], threshold)}
+        assert {(r.q, r.pos) for r in got.collect()} == want and max(p for _, p in want) > 200
+    few = L.quota_per_query(got, "q", "domain", 20, 2)
+    want = {(q, i + 1, k + 1) for q in "ab" for k, i in enumerate(L.quota_fill(L.greedy_distinct(sets[q], texts[q], 0.85), [r[4] for r in rows if r[0] == q], 20, 2))}
+    assert {(r.q, r.pos, r.rank) for r in few.collect()} == want
+    for threshold in (0.7, 0.95):
+        got = L.saturated_per_query(L.distinct_per_query(df, "q", order, tokens, None, threshold), "q")
+        assert {(r.q, r.pos) for r in got.collect()} == {(q, i + 1) for q in "ab" for i in L.until_saturated(sets[q], threshold)}
+    fill = L.fill_candidates(df, "q", order, F.length("snippet") + 100, 1500, 18)
+    sizes = [len(r[5]) + 100 for r in rows if r[0] == "a"]
+    cut = L.select_per_query(fill, "q", order, lambda p: L.fill_skipping([len(s) + 100 for s in p["snippet"]], 2800, 1500, 18), "q string, url string, rank int")
+    assert [r.url for r in cut.filter("q = 'a'").orderBy("rank").collect()] == [f"u{i:03}" for i in L.fill_skipping(sizes, 2800, 1500, 18)]
+
+
+def test_mmr_finds_what_is_new_below_position_200(spark):
+    rows = [("q", f"u{i:03}", 0.9 - i / 10_000, "", "a b c d" if i < 250 else f"w{i} x{i} y{i}") for i in range(260)] + [("q", "far", 0.1, "", "z")]
+    df = spark.createDataFrame(rows, "q string, url string, score double, aspect string, body string")
+    near = L.mmr_candidates(df, "q", [F.desc("score"), "url"], "score", ["aspect", "body"], 5)
+    assert near.count() < 50
+    got = L.select_per_query(near, "q", [F.desc("score"), "url"], lambda p: L.mmr(p["score"].tolist(), [frozenset(b.split()) for b in p["body"]], p["aspect"].tolist(), 5), "q string, url string, rank int")
+    want = L.mmr([r[2] for r in rows], [frozenset(r[4].split()) for r in rows], [r[3] for r in rows], 5)
+    assert [r.url for r in got.orderBy("rank").collect()] == [rows[i][1] for i in want] == ["u000", "u250", "u251", "u252", "u253"]
