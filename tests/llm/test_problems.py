@@ -156,6 +156,18 @@ def test_p6_differences(spark):
     assert all(not got[i] & set(range(3, 7)) for i in range(8))
 
 
+def test_p6_pages_that_share_a_legal_sentence_are_compared(spark):
+    legal = "The paper is a trade name of Morrow and Daughters Publishing, registered in the town of Thornwick under no. {}."
+    texts = [f"{article(k * 3)}\nShort remark number {'abcdefgh'[k]} of the day\n{legal.format(77)}" for k in range(8)] + [f"Opening hours of {x}\n{legal.format(77)}" for x in ("ann", "ben", "cid")]
+    r = reads(spark, texts, {i: f"https://paper.test/2024/story-{i:02}" for i in range(11)})
+    pages = {p.read_id: p for p in p06_main_body.difference_pages(r).collect()}
+    assert all(p.paired and p.shared[-1] and not any(p.shared[:-1][:4]) for p in pages.values() if p.read_id < 8)
+    assert all(pages[i].paired and pages[i].shared == [False, True] for i in (8, 9, 10))
+    copies = [article(1, 6) + f"\nSeen {x}" for x in ("here", "there")]
+    r = reads(spark, copies, {0: "https://b.test/a", 1: "https://b.test/b"})
+    assert not any(p.paired for p in p06_main_body.difference_pages(r).collect())
+
+
 def test_p6_common_lines():
     rng = random.Random(5)
     for _ in range(50):
