@@ -17,18 +17,24 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import attach_by_key, components, keep_ids
 from loomspan.llm.residue_rules import judge
-from loomspan.llm.simhash import WORD, Hasher, fingerprint, shingles, table_masks
+from loomspan.llm.simhash import WORD, Hasher, fingerprint, mix, shingles, table_masks
 from loomspan.session import materialize, read_table
 
-#: Five-word shingles 0.8 alike differ in 9.7 of 64 bits on average, 0.9 alike in 6.7.
-MAX_HAMMING = 14
-#: 28 tables, each keyed on 16 of the 64 bits. Two texts 0.9 alike meet in a
-#: table with probability 0.91, 0.95 alike with 0.98. A corpus of billions
-#: takes (7, 3): 35 tables of 27 bits, with 0.55 and 0.85.
+#: Independent SimHashes a text: 192 bits. Five-word shingles 0.8 alike differ in 29.1 of them on average (deviation 5), 0.9 alike in 20.
+SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+MAX_HAMMING = 43
+#: 28 tables a SimHash, each keyed on 16 of its 64 bits. Two texts 0.8 alike meet
+#: in a table of one SimHash with probability 0.68, in one of the three with 0.96.
 BLOCKS, EQUAL = 8, 2
 MIN_SIMILARITY = 0.8
 
-_LABELS = "read_id long, residue boolean, whole boolean, text_key long, fp long"
+_FPS = ("fp", "fp1", "fp2")
+_LABELS = "read_id long, residue boolean, whole boolean, text_key long, " + ", ".join(f"{c} long" for c in _FPS)
+
+
+def fingerprints(s: np.ndarray) -> list[int]:
+    """The SimHashes of hashed shingles, one for each of SEEDS."""
+    return [fingerprint(mix(s ^ np.uint64(x)) if x else s) for x in SEEDS]
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,13 +46,13 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = hasher.words(WORD.findall(text.lower()))
             s = shingles(words)
             key = int((s * np.arange(1, 2 * len(s) + 1, 2, dtype=np.uint64)).sum().view(np.int64)) if len(s) else 0
-            rows.append((residue, whole, key, fingerprint(s) if len(s) else 0))
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["read_id", "residue", "whole", "text_key", "fp"])
+            rows.append((residue, whole, key, *(fingerprints(s) if len(s) else [0] * len(SEEDS))))
+        cols = list(zip(*rows)) if rows else [[]] * (3 + len(SEEDS))
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["read_id", "residue", "whole", "text_key", *_FPS])
 
 
 def label_reads(reads: DataFrame) -> DataFrame:
-    """Per non-empty text: trusted labels, a key equal for texts equal but for numbers, and the SimHash."""
+    """Per non-empty text: trusted labels, a key equal for texts equal but for numbers, and the SimHashes."""
     return reads.select("read_id", "text").filter(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).mapInArrow(_label, _LABELS)
 
 
@@ -57,12 +63,18 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["rep", "sh"])
 
 
+def candidate_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): representatives that agree on a table of one SimHash and differ in at most MAX_HAMMING bits of all."""
+    masks = F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).bitwiseAND(m).alias("v")) for i, (c, m) in enumerate((c, m) for c in _FPS for m in table_masks(BLOCKS, EQUAL))])
+    keyed = classes.select("rep", *_FPS, F.explode(F.transform(masks, lambda x: F.xxhash64(x.t, x.v))).alias("key"))
+    left, right = keyed.select("key", F.col("rep").alias("a"), *[F.col(c).alias(f"a_{c}") for c in _FPS]), keyed.select("key", F.col("rep").alias("b"), *[F.col(c).alias(f"b_{c}") for c in _FPS])
+    bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _FPS), F.lit(0))
+    return left.join(right, "key").filter((F.col("a") < F.col("b")) & (bits <= MAX_HAMMING)).select("a", "b").distinct()
+
+
 def near_duplicates(reads: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): class representatives within MAX_HAMMING bits whose shingles are at least MIN_SIMILARITY alike."""
-    masks = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).alias("m")) for i, m in enumerate(table_masks(BLOCKS, EQUAL))])
-    keyed = classes.select("rep", "fp", F.explode(F.transform(masks, lambda x: F.xxhash64(x.t, F.col("fp").bitwiseAND(x.m)))).alias("key"))
-    left, right = keyed.select("key", F.col("rep").alias("a"), F.col("fp").alias("fa")), keyed.select("key", F.col("rep").alias("b"), F.col("fp").alias("fb"))
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_HAMMING)).select("a", "b").distinct()
+    pairs = candidate_pairs(classes)
     pairs = materialize(pairs, "p1pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("read_id")).distinct()
     sets = materialize(keep_ids(reads.select("read_id", "text").filter("text is not null"), wanted, "read_id").mapInArrow(_shingle_rows, "rep long, sh array<long>"), "p1sets")
@@ -81,7 +93,7 @@ def residue_labels(reads: DataFrame) -> DataFrame:
     an empty table gives none, repeated rows are labelled alike.
     """
     labels = materialize(label_reads(reads), "p1")
-    groups = labels.groupBy("text_key", "fp").agg(F.min("read_id").alias("rep"), F.count("*").alias("n"), F.max("whole").alias("whole"))
+    groups = labels.groupBy("text_key", "fp").agg(F.min("read_id").alias("rep"), F.count("*").alias("n"), F.max("whole").alias("whole"), *[F.min(c).alias(c) for c in _FPS[1:]])
     classes = materialize(groups, "p1classes")
     comp = components(near_duplicates(reads, classes))
     placed = classes.join(comp, classes.rep == comp.node, "left").withColumn("comp", F.coalesce("comp", "rep"))

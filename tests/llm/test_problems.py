@@ -18,6 +18,20 @@ def reads(spark, texts, urls=None):
     return spark.createDataFrame([(i, (urls or {}).get(i, f"https://x{i}.test/a/{i}"), f"t{i}", t, None, None) for i, t in enumerate(texts)], READS)
 
 
+def test_p1_recall_of_the_candidates_at_0_8(spark):
+    rng = np.random.default_rng(4)
+    rows, truth = [], set()
+    for k in range(500):
+        both = rng.integers(0, 2**63, 200, dtype=np.uint64)
+        for side in (0, 1):  # 200 shared of 250 shingles
+            s = np.concatenate([both, rng.integers(0, 2**63, 25, dtype=np.uint64)])
+            rows.append((2 * k + side, *p01_residue.fingerprints(p01_residue.mix(s))))
+        truth.add((2 * k, 2 * k + 1))
+    found = {(r.a, r.b) for r in p01_residue.candidate_pairs(spark.createDataFrame(rows, "rep long, fp long, fp1 long, fp2 long")).collect()}
+    print(len(found & truth) / len(truth))
+    assert len(found & truth) >= 0.95 * len(truth)
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(0, k) for k in range(100, 140)] + [(200 + k, 201 + k) for k in range(12)]
