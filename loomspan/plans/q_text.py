@@ -145,9 +145,9 @@ def saturation_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search results whose title words are at least 0.85 alike, each title once, copies as pairs with their first."""
-    rows = read_table(spark, sf_dir, "serp").filter("title is not null").dropDuplicates(["serp_id"])
-    pairs = similar_pairs(rows.select("serp_id", X.retrieval_tokens(F.col("title")).alias("t")), "serp_id", "t", 0.85)
+    """Documents whose whole texts' words are at least 0.85 alike, each text once, copies as pairs with their first."""
+    rows = read_table(spark, sf_dir, "documents").dropDuplicates(["doc_id"])
+    pairs = similar_pairs(rows.select("doc_id", X.retrieval_tokens(F.col("text")).alias("t")), "doc_id", "t", 0.85)
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

@@ -192,3 +192,12 @@ def test_mmr_finds_what_is_new_below_position_200(spark):
     got = L.select_per_query(near, "q", [F.desc("score"), "url"], lambda p: L.mmr(p["score"].tolist(), [frozenset(b.split()) for b in p["body"]], p["aspect"].tolist(), 5), "q string, url string, rank int")
     want = L.mmr([r[2] for r in rows], [frozenset(r[4].split()) for r in rows], [r[3] for r in rows], 5)
     assert [r.url for r in got.orderBy("rank").collect()] == [rows[i][1] for i in want] == ["u000", "u250", "u251", "u252", "u253"]
+
+
+def test_jaccard_pairs_are_of_whole_document_texts(spark, tmp_path):
+    from loomspan.plans.q_text import jaccard_pairs
+
+    long = " ".join(f"word{i}" for i in range(2000))
+    rows = [(1, None, long), (2, "t", long + " end"), (3, "t", long[: len(long) // 2]), (4, "t", None), (5, None, long)]
+    spark.createDataFrame(rows, "doc_id long, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.a, r.b) for r in jaccard_pairs(spark, str(tmp_path)).collect()} == {(1, 2), (1, 5)}
