@@ -22,41 +22,41 @@ _CLOSE = r"[\"'”»“’‘›)\]*_]*"
 _NAME = r"\p{Lu}[\p{L}\p{M}’'\-]+"
 _BULLET = r"(?:[-–—•*·▪]|\d{1,3}[.)])"
 
-#: Log-odds that a text with this kind of end was cut, before its length is
-#: looked at. "open" ends stop inside a sentence; "loose" ones end without
-#: a full stop but are how captions, credits and list items end.
-END_LOG_ODDS = {"closed": -20.0, "open": 6.0, "loose": -5.0}
-#: A limit needs this many values that end openly or loosely at it.
+#: Kinds of ending. "open" and "marked" ones stop inside a sentence; the others
+#: end without a full stop but are how links, list items, signatures, credits,
+#: captions and headings end, "line" being one line without any sentence.
+#: "closed" texts end with a sentence and are complete by definition.
+KINDS = ("closed", "marked", "open", "link", "listed", "signed", "credit", "named", "line")
+#: A limit needs this many values that end in any way but closed at it.
 MIN_AT_LIMIT = 3
-#: Characters at the end that say how a text ends; lengths are of whole texts.
-TAIL = 240
-CAPTION = 64
 CUT_AT = 0.5
+#: Pseudo-count of every kind of ending in the learned shares.
+SMOOTH = 0.5
 
 
 def end_kind(text: Column, title: Column | None = None) -> Column:
-    """How ``text`` ends: closed, open or loose (null and blank text: closed).
+    """How ``text`` ends: one of KINDS (null and blank text: closed).
 
-    A text that is its title, or one unended line of at most CAPTION
-    characters, is a caption; captions, links, signatures, credits and list
-    items end loosely.
+    The whole last line is looked at, whatever its length; a text that is its
+    title is "named", a text of one line without a sentence end is "line". A
+    question or exclamation that closes before an omission mark is closed.
     """
     whole = F.rtrim(text, F.lit(" \n\r\t\u00a0\u2028"))
-    t = F.substring(whole, -TAIL, TAIL)  # the end of a text is in its last line and sentence
-    marked = t.rlike(r"(?:…|\.\.\.|[\)\]])$") & t.rlike(r"(?i)" + _MARK)
-    stem = F.when(marked, F.regexp_replace(t, r"(?i)" + _MARK, "")).otherwise(t)
-    tail = stem
-    line = F.regexp_extract(stem, r"([^\n]*)$", 1)
-    closed = tail.rlike(r"(?:[.!?。]" + _CLOSE + r"|(?:…|\.\.\.)[\"'”»“’‘›]+)$")
-    sentence = tail.rlike(r"[.!?…]" + _CLOSE + r"\s")
-    link = tail.rlike(r"(?:^|\s)(?:https?://|www\.)\S+$")
-    listed = line.rlike(rf"^\s*{_BULLET}\s+\S") | tail.rlike(rf"[.!?]{_CLOSE}\s+{_BULLET}\s+\d[^.!?]*$")
-    signed = line.rlike(rf"^\s*(?:[-–—]\s*)?{_NAME}(?:\s+(?:[a-z]{{1,3}}\s+)?{_NAME}){{1,2}}$") & F.instr(stem, "\n").cast("boolean")
-    credit = line.rlike(rf"^\s*{_NAME}(?: [\p{{L}}]+)?\s?:\s+{_NAME}(?:[ ,]+{_NAME})*$") | tail.rlike(rf"[.!?]{_CLOSE}\s+{_NAME}\s?:\s+{_NAME}(?:[ ,]+{_NAME})*$")
+    last = F.substring_index(whole, "\n", -1)
+    marked = last.rlike(r"(?:…|\.\.\.|[\)\]])$") & last.rlike(r"(?i)" + _MARK)
+    line = F.when(marked, F.regexp_replace(last, r"(?i)" + _MARK, "")).otherwise(last)
+    closed = line.rlike(r"(?:[.!?。]" + _CLOSE + r"|(?:…|\.\.\.)[\"'”»“’‘›]+)$")
+    finished = F.when(marked, line.rlike(r"[!?]" + _CLOSE + "$")).otherwise(closed)
+    single = (F.instr(whole, "\n") == 0) & ~line.rlike(r"[.!?…]" + _CLOSE + r"\s") & ~line.rlike(r"[,;:–—\-(«“„]$")
+    link = line.rlike(r"(?:^|\s)(?:https?://|www\.)\S+$")
+    listed = line.rlike(rf"^\s*{_BULLET}\s+\S") | line.rlike(rf"[.!?]{_CLOSE}\s+{_BULLET}\s+\d[^.!?]*$")
+    signed = line.rlike(rf"^\s*(?:[-–—]\s*)?{_NAME}(?:\s+(?:[a-z]{{1,3}}\s+)?{_NAME}){{1,2}}$") & (F.instr(whole, "\n") > 0)
+    credit = line.rlike(rf"^\s*{_NAME}(?: [\p{{L}}]+)?\s?:\s+{_NAME}(?:[ ,]+{_NAME})*$") | line.rlike(rf"[.!?]{_CLOSE}\s+{_NAME}\s?:\s+{_NAME}(?:[ ,]+{_NAME})*$")
     named = F.coalesce(F.trim(title) == F.trim(whole), F.lit(False)) if title is not None else F.lit(False)
-    caption = ~sentence & (named | (F.length(whole) <= CAPTION)) & (F.instr(stem, "\n") == 0) & ~stem.rlike(r"[,;:–—\-(«“„]$")
-    loose = link | listed | signed | credit | caption
-    return F.when(text.isNull() | (t == ""), "closed").when(closed, "closed").when(marked, "open").when(loose, "loose").otherwise("open")
+    return (
+        F.when(text.isNull() | (whole == "") | finished, "closed").when(marked, "marked").when(link, "link").when(listed, "listed")
+        .when(signed, "signed").when(credit, "credit").when(named, "named").when(single, "line").otherwise("open")
+    )
 
 
 def length_histogram(ends: DataFrame) -> DataFrame:
@@ -135,11 +135,51 @@ def source_limits(hist: DataFrame) -> DataFrame:
     return hist.groupBy("source", "unit").applyInPandas(_limits_of, LIMIT_SCHEMA)
 
 
+#: A "line" is judged by its length as well: half-octaves of characters.
+def _evidence(kind: Column, chars: Column) -> Column:
+    octave = F.floor(2 * F.log2(F.greatest(chars, F.lit(1)).cast("double")))
+    return F.when(kind == "line", F.concat(F.lit("line"), octave.cast("string"))).otherwise(kind)
+
+
+def ending_odds(counts: list[tuple[str, float, float, float]]) -> tuple[dict[str, float], float]:
+    """({evidence: log P(evidence | cut) / P(evidence | complete)}, log-odds of a cut away from the limits).
+
+    ``counts``: (evidence, values away from every limit, values at limits,
+    censored values at limits as the posterior expects them). What stands at
+    the limits beyond the background is cut for certain and shows how cuts
+    end. Away from the limits cut and complete texts are mixed; the share of
+    cuts there is the largest that the texts stopping inside a sentence
+    allow, and what remains shows how complete texts end.
+    """
+    away, at, cens = ({e: row[k] for e, *row in counts} for k in range(3))
+    n_away, n_at, n_cens = sum(away.values()), sum(at.values()), sum(cens.values())
+    kinds = sorted(away)
+    k = max(1, len(kinds))
+    # the background at the limits has the mix found away from them
+    back = max(0.0, n_at - n_cens) / max(1.0, n_away)
+    inside = ("open", "marked")
+    if n_cens >= MIN_AT_LIMIT:
+        raw = {e: max(0.0, at[e] - back * away[e]) for e in kinds}
+    else:  # nothing is censored: a cut stops inside a sentence
+        raw = {e: away[e] + at[e] if e in inside else 0.0 for e in kinds}
+    total = sum(raw.values()) + SMOOTH * k
+    p_cut = {e: (raw[e] + SMOOTH) / total for e in kinds}
+    share = min(0.5, sum(away.get(e, 0.0) for e in inside) / max(1.0, n_away) / max(1e-9, sum(p_cut.get(e, 0.0) for e in inside) or 1.0))
+    rest = {e: max(0.0, away[e] - share * n_away * p_cut[e]) if e not in inside else 0.0 for e in kinds}
+    total = sum(rest.values()) + SMOOTH * k
+    odds = {e: math.log(p_cut[e]) - math.log((rest[e] + SMOOTH) / total) for e in kinds}
+    share = max(share, 1e-4)
+    return odds, math.log(share / (1 - share))
+
+
 def truncation_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, source, kind, posterior, p_cut) for every document.
 
-    Null or blank texts are never cut; a null source is a source of its own;
-    repeated rows are scored alike; extra columns are ignored.
+    The log-odds of a cut are those of the censoring posterior of the value's
+    length (away from every limit: of the share of cuts there) plus what the
+    ending is worth, which is learned from this very table. Null or blank
+    texts are never cut; a null source is a source of its own; repeated rows
+    are scored alike; extra columns are ignored; an empty table gives no rows.
     """
     title = F.col("title") if "title" in docs.columns else None
     ends = docs.select("doc_id", F.coalesce("source", F.lit("\u0000")).alias("source"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), end_kind(F.col("text"), title).alias("kind")).filter(F.col("chars").isNotNull())
@@ -149,13 +189,18 @@ def truncation_scores(docs: DataFrame) -> DataFrame:
     by = lambda unit, col: limits.filter(F.col("unit") == unit).select("source", F.col("len").alias(col), F.col("posterior").alias(f"post_{unit}"))
     j = ends.join(by("chars", "chars"), ["source", "chars"], "left").join(by("bytes", "bytes"), ["source", "bytes"], "left")
     post = F.greatest(F.coalesce("post_chars", F.lit(0.0)), F.coalesce("post_bytes", F.lit(0.0)))
-    odds = F.lit(0.0)
-    for kind, value in END_LOG_ODDS.items():
-        odds = F.when(F.col("kind") == kind, F.lit(value)).otherwise(odds)
-    clipped = F.least(F.lit(0.9999), F.greatest(F.lit(0.01), post))
-    # the posterior enters as evidence against a flat prior of one cut in a hundred
-    score = odds + F.log(clipped / (1 - clipped)) - math.log(0.01 / 0.99)
-    return j.select("doc_id", F.nullif("source", F.lit("\u0000")).alias("source"), "kind", post.alias("posterior"), (1 / (1 + F.exp(-score))).alias("p_cut"))
+    j = materialize(j.select("doc_id", F.nullif("source", F.lit("\u0000")).alias("source"), "kind", _evidence(F.col("kind"), F.col("chars")).alias("evidence"), post.alias("posterior")), "p10j")
+    # one row per kind of ending, however many documents
+    seen = j.groupBy("evidence").agg(F.count_if(F.col("posterior") == 0).alias("away"), F.count_if(F.col("posterior") > 0).alias("at"), F.sum("posterior").alias("cens")).collect()
+    odds, base = ending_odds([(r.evidence, float(r.away), float(r["at"]), float(r.cens)) for r in seen])
+    value = F.lit(0.0)
+    for name, x in odds.items():
+        value = F.when(F.col("evidence") == name, F.lit(x)).otherwise(value)
+    clipped = F.least(F.lit(0.9999), F.greatest(F.lit(0.0001), F.col("posterior")))
+    prior = F.greatest(F.lit(base), F.log(clipped / (1 - clipped)))
+    # a text that ends with its sentence is complete, wherever a limit lies
+    p_cut = F.when(F.col("kind") == "closed", 0.0).otherwise(1 / (1 + F.exp(-(prior + value))))
+    return j.select("doc_id", "source", "kind", "posterior", p_cut.alias("p_cut"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
