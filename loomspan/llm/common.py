@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from loomspan.session import materialize
 
-#: A key with at least this many rows is hot. There can be at most
-#: rows / HOT_ROWS of them, which bounds what is broadcast for them.
-HOT_ROWS = 50_000
+#: A key is hot with at least this many rows and this share of all rows, so
+#: at most 1 / HOT_SHARE keys are hot, however many rows there are.
+HOT_ROWS, HOT_SHARE = 50_000, 1 / 2000
 
 
 def clean_line(line: Column) -> Column:
@@ -20,26 +20,46 @@ def clean_line(line: Column) -> Column:
 def attach_by_key(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join of ``rows`` with one-row-per-key ``groups`` that survives hot keys.
 
-    ``groups[size]`` is the number of rows of the key. Keys with at least
-    ``hot_rows`` rows are joined by broadcast: there are at most
-    count(rows) / hot_rows of them. All other keys are joined by shuffle.
+    ``groups[size]`` is the number of rows of the key; ``groups`` is read more
+    than once and should be a written table. Keys that hold at least
+    ``hot_rows`` rows and HOT_SHARE of all are joined by broadcast: there are
+    at most 1 / HOT_SHARE of them, whatever the number of rows. All other
+    keys are joined by shuffle.
     """
-    hot = groups.filter(F.col(size) >= hot_rows)
-    cold = groups.filter(F.col(size) < hot_rows)
-    if not hot.take(1):
-        return rows.join(cold, keys)
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    least = max(hot_rows, int((total or 0) * HOT_SHARE))
+    if (most or 0) < least:
+        return rows.join(groups, keys)
+    hot, cold = groups.filter(F.col(size) >= least), groups.filter(F.col(size) < least)
     warm = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return rows.join(F.broadcast(hot), keys).select(*warm.columns).unionByName(warm)
 
 
-#: A semi-join's ids are broadcast up to this many (8 bytes each), shuffled beyond.
-BROADCAST_IDS = 500_000
+#: A Bloom filter has this many slots of 64 bits, whatever the number of keys.
+BLOOM_SLOTS = 1 << 20
 
 
-def keep_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Left semi join of wide ``rows`` with distinct ``ids`` whose number is checked first."""
-    ids = materialize(ids, "ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+def _slot_and_bits(key: Column) -> tuple[Column, Column]:
+    h = F.xxhash64(key, F.lit(77))
+    bits = F.lit(0).cast("long")
+    for k in range(4):
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 20 + 7 * k), F.lit(64)).cast("int")))
+    return F.pmod(h, F.lit(BLOOM_SLOTS)), bits
+
+
+def may_be_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` may be among ``keys[key]``: a Bloom filter, no row of ``keys`` is missed.
+
+    The filter is a table of at most BLOOM_SLOTS slots (16 bytes each), or-ed
+    together map-side and broadcast, so ``rows`` are cut where they are read
+    and only what may be wanted is ever shuffled. Ten bits a key up to seven
+    million keys; beyond, more rows pass, and the join that follows sorts
+    them out in the same way.
+    """
+    slot, bits = _slot_and_bits(F.col(key))
+    table = keys.select(slot.alias("bloom_slot"), bits.alias("bloom_bits")).groupBy("bloom_slot").agg(F.bit_or("bloom_bits").alias("bloom_mask"))
+    hit = rows.withColumns({"bloom_slot": slot, "bloom_bits": bits}).join(F.broadcast(table), "bloom_slot")
+    return hit.filter(F.col("bloom_mask").bitwiseAND(F.col("bloom_bits")) == F.col("bloom_bits")).select(*rows.columns)
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
@@ -47,7 +67,8 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
 
     Alternating large-star / small-star (Kiveris et al., 2014): every round
     shuffles edges only, a hub's neighbours are pre-aggregated to a minimum
-    before they meet, and lineage is cut by a written table each round.
+    before they meet and a hot hub's edges get it by broadcast, and lineage is
+    cut by a written table each round.
     ``comp`` is the smallest node of the component. Empty input gives no rows.
     """
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
@@ -55,8 +76,8 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "ccl")
+        large = attach_by_key(both, low, ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import attach_by_key, components, keep_ids
+from loomspan.llm.common import attach_by_key, components, may_be_in
 from loomspan.llm.simhash import Hasher, mix
 from loomspan.session import materialize, read_table
 
@@ -118,19 +118,22 @@ class NearDuplicates:
     def __init__(self, reads: DataFrame) -> None:
         signed = materialize(sign_reads(reads), "p3sig")
         self.members = signed.select("read_id", "n", "set1", "set2").distinct()
-        groups = signed.groupBy("n", "set1", "set2").agg(F.min("read_id").alias("rep"), F.count_distinct("read_id").alias("copies"), F.first("sketch1").alias("sketch1"), F.first("sketch2").alias("sketch2"), F.first("bands").alias("bands"))
-        classes = materialize(groups, "p3cls")
-        self.classes = classes.select("n", "set1", "set2", "rep", "copies")
-        # a band's row is a hash and an id, nothing else travels for pairs that never meet
-        banded = classes.select("rep", F.explode("bands").alias("band"))
-        pairs = banded.select("band", F.col("rep").alias("a")).join(banded.select("band", F.col("rep").alias("b")), "band").filter("a < b").select("a", "b").distinct()
-        l, r = (classes.select(*(F.col(c).alias(c + s) for c in ("n", "sketch1", "sketch2")), F.col("rep").alias(s[1:])) for s in ("_a", "_b"))
+        self.classes = materialize(self.members.groupBy("n", "set1", "set2").agg(F.min("read_id").alias("rep"), F.count("*").alias("copies")), "p3cls")
+        # a band's row is two hashes: copies fall together map-side, and nothing else travels for texts that never meet
+        banded = signed.select(F.col("set1").alias("c"), F.explode("bands").alias("band")).distinct()
+        met = banded.select("band", F.col("c").alias("a")).join(banded.select("band", F.col("c").alias("b")), "band").filter("a < b").select("a", "b").distinct()
+        ids = self.classes.select("n", "set1", "rep").join(signed.select(F.col("read_id").alias("rep"), "sketch1", "sketch2").dropDuplicates(["rep"]), "rep")
+        l, r = (ids.select(F.col("set1").alias(x), F.col("rep").alias(f"rep_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch1", "sketch2"))) for x in "ab")
         size = (10 * F.col("n_a") >= 7 * F.col("n_b")) & (10 * F.col("n_b") >= 7 * F.col("n_a"))
         differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
         near = differ("sketch1") + differ("sketch2") <= MAX_DIFFERENT
-        pairs = materialize(pairs.join(l, "a").join(r, "b").filter(size & near).select("a", "b"), "p3cand")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("read_id")).distinct()
-        sets = materialize(keep_ids(reads.select("read_id", "text").filter("text is not null"), wanted, "read_id").mapInArrow(_word_rows, "rep long, words array<long>"), "p3sets")
+        # classes that agree in set1 alone are other classes, and pairs of their own
+        same = self.classes.groupBy("set1").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("set1").alias("a"), F.col("set1").alias("b"))
+        pairs = met.union(same).join(l, "a").join(r, "b").filter(size & near & (F.col("rep_a") != F.col("rep_b")))
+        pairs = materialize(pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), "p3cand")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("read_id"))
+        texts = may_be_in(reads.select("read_id", "text").filter("text is not null"), wanted, "read_id")
+        sets = materialize(texts.mapInArrow(_word_rows, "rep long, words array<long>"), "p3sets")
         both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
         self.links = materialize(both.select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long").distinct(), "p3links")
 
@@ -155,7 +158,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp = components(nd.links)
     degree = nd.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     cls = nd.classes.join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 or n_links > 0")
-    cls = cls.select("n", "set1", "set2", "rep", "copies", F.coalesce("comp", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    cls = materialize(cls.select("n", "set1", "set2", "rep", "copies", F.coalesce("comp", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "p3grp")
     return attach_by_key(nd.members, cls, ["n", "set1", "set2"], "copies").select("read_id", "group_id", F.col("rep").alias("class_id"), "copies", "n_links")
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from loomspan.llm import catalog, p01_residue, p02_spam_pages, p03_near_duplicates, p04_encoding, p05_site_lines, p06_main_body, p07_addresses, p08_packing, p09_mixing, p10_truncation
-from loomspan.llm.common import attach_by_key, components
+from loomspan.llm.common import attach_by_key, components, may_be_in
 from tests.llm.conftest import READS, article
 from tests.oracle import connect, rows
 
@@ -20,18 +20,44 @@ def reads(spark, texts, urls=None):
 
 def test_p1_recall_of_the_candidates_at_0_8(spark):
     rng = np.random.default_rng(4)
-    rows, truth = [], set()
+    sides, truth = ([], []), set()
     for k in range(500):
         both = rng.integers(0, 2**63, 200, dtype=np.uint64)
         for side in (0, 1):  # 200 shared of 250 shingles
             s = np.concatenate([both, rng.integers(0, 2**63, 25, dtype=np.uint64)])
-            rows.append((2 * k + side, *p01_residue.fingerprints(p01_residue.mix(s))))
+            sides[side].append((2 * k + side, 225, *p01_residue.fingerprints(p01_residue.mix(s))))
         truth.add((2 * k, 2 * k + 1))
-    found = {(r.a, r.b) for r in p01_residue.candidate_pairs(spark.createDataFrame(rows, "rep long, fp long, fp1 long, fp2 long")).collect()}
-    print(len(found & truth) / len(truth))
+    seeds, others = (spark.createDataFrame(r, "rep long, size int, fp long, fp1 long, fp2 long") for r in sides)
+    found = {(r.a, r.b) for r in p01_residue.candidate_pairs(seeds, others).collect()}
     assert len(found & truth) >= 0.95 * len(truth)
 
 
+def test_p1_labels_reach_edited_copies_that_no_rule_knows(spark):
+    rng = random.Random(8)
+    texts, planted = [article(k, 6) for k in range(20)], set()
+    lines = lambda ws: "\n".join(" ".join(ws[i : i + 5]) for i in range(0, len(ws), 5))
+    for k in range(40):
+        body = [f"{rng.choice('bcdfg')}{rng.randrange(10**6)}q" for _ in range(300)]
+        page = " ".join(w.translate(str.maketrans("0123456789", "abcdefghij")) for w in body)
+        texts.append("Just a moment... Please enable JavaScript to view this page.\n" + lines(page.split()))  # seen by rule
+        words = page.split()
+        words[rng.randrange(300)] = "edited"
+        planted |= {len(texts), len(texts) + 1}
+        texts.append(lines(words))  # a copy of the rest, one word edited
+        words[0] = "again"
+        texts.append(lines(words) + " and more words at the end")  # a copy of the copy
+    labels = {r.read_id: r for r in p01_residue.residue_labels(reads(spark, texts)).collect()}
+    got = {i for i, r in labels.items() if r.propagated}
+    assert got <= planted and len(got) >= 0.9 * len(planted)
+    assert not any(labels[i].residue for i in planted)
+
+
+def test_bloom_filter_misses_nothing(spark):
+    rows, keys = spark.range(20_000).selectExpr("id as k", "id as x"), spark.range(0, 20_000, 7).selectExpr("id as k")
+    got = {r.k for r in may_be_in(rows, keys, "k").collect()}
+    assert got >= set(range(0, 20_000, 7)) and len(got) < 3_100
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(0, k) for k in range(100, 140)] + [(200 + k, 201 + k) for k in range(12)]
