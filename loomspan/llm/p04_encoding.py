@@ -23,6 +23,8 @@ BINS = 1 << 14
 SMOOTH = 0.05
 #: A line is garbled if its chain beats "clean" by this many nats, ...
 MARGIN = 0.0
+#: chains this many nats less likely than the best one are not tried, ...
+RULED_OUT = 60.0
 #: ... and what it inverts to is likelier clean text by as many nats a bigram.
 GAIN = 0.4
 #: ... or by this many, if characters were lost and only runs of it decode.
@@ -125,9 +127,16 @@ class Classifier:
     """Multinomial naive Bayes: class 0 is clean, class k + 1 is chain k."""
 
     def __init__(self, clean_lines: list[str]) -> None:
-        ch = Chains()
         lines = sorted({x for x in clean_lines if _NON_ASCII.search(x)})
-        lines += [x.upper() for x in lines if len(x) < 120]  # headlines in capitals
+        self.fit(lines)
+        # lines of the sample that are garbled themselves teach nothing about clean text
+        kept = [x for x, (chain, _, _) in zip(lines, Repairer(self.logp).fields(lines)) if chain is None]
+        if len(kept) < len(lines):
+            self.fit(kept)
+
+    def fit(self, lines: list[str]) -> None:
+        ch = Chains()
+        lines = lines + [x.upper() for x in lines if len(x) < 120]  # headlines in capitals
         rows = [self.row(lines)]
         for k in range(len(CHAINS)):
             garbled = (ch.garble(x, k) for x in lines)
@@ -160,10 +169,10 @@ class Repairer:
 
     def clean_score(self, line: str) -> float:
         """Mean log-likelihood of the line's bigrams as clean text; 0 for plain ASCII."""
-        s, n = self.model.scores([line])
-        return float(s[0, 0] / n[0]) if n[0] else -3.0
+        bins, _ = bigrams([line])
+        return float(self.model.logp[0][bins].mean()) if len(bins) else -3.0
 
-    def fix(self, line: str, order: np.ndarray, clean: float) -> tuple[int, str, bool] | None:
+    def fix(self, line: str, order: list[int], clean: float) -> tuple[int, str, bool] | None:
         """(chain, restored, complete) of a garbled line, or None if it is clean after all.
 
         UTF-8 read as something else leaves byte sequences that decode by
@@ -181,7 +190,7 @@ class Repairer:
                 if gain >= GAIN and (best is None or gain > best[3]):
                     best = (int(k), r, True, gain)
         if best is None:
-            for k in order[:4]:
+            for k in order:
                 if CHAINS[k][0][0] != "utf-8" and not odd:
                     continue
                 r, good, bad = self.chains.invert_runs(line, int(k))
@@ -208,7 +217,9 @@ class Repairer:
                 if "�" in line:
                     repaired.setdefault(f, {})[i] = ("lost", line, False)
                 elif lead[j] > MARGIN:
-                    order = np.argsort(-s[j, 1:])[:6]
+                    # every chain that explains the line better than "clean" and is not ruled out by the best one is tried
+                    least = max(s[j, 0] + MARGIN, s[j, 1:].max() - RULED_OUT)
+                    order = [k for k in np.argsort(-s[j, 1:]) if s[j, k + 1] > least]
                     hit = self.fix(line, order, float(s[j, 0] / max(1, n[j])))
                     if hit:
                         name = " ".join(f"{a}>{b}" for a, b in CHAINS[hit[0]])

@@ -74,7 +74,7 @@ def collapse_addresses(reads: DataFrame, id_col: str = "read_id", url_col: str =
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys, groups = collapse_addresses(read_table(spark, sf_dir, "webtools_bridge"))
-    many = attach_by_key(keys, groups.filter("n > 1"), ["h1", "h2", "check"], "n")
+    many = attach_by_key(keys, materialize(groups.filter("n > 1"), "p7many"), ["h1", "h2", "check"], "n")
     return many.filter("id <> head").select(F.col("head").alias("read_id_a"), F.col("id").alias("read_id_b"))
 
 

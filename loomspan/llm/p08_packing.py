@@ -21,8 +21,10 @@ from loomspan.llm.tokens import TOKENIZER, make_counter
 from loomspan.session import materialize, read_table
 
 DIMS, BITS = 4, 10
-#: Neighbours on the curve that are packed together, largest first.
-WINDOW = 4096
+#: Neighbours on the curve that are packed together, largest first, ...
+WINDOW = 256
+#: ... and for how many further windows what they leave open takes others in.
+STAY_OPEN = 4
 
 
 def hilbert_index(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -81,16 +83,22 @@ def sized_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 class Packer:
-    """Best fit decreasing into open containers of one capacity, window by window."""
+    """Best fit decreasing into containers of one capacity, along the curve.
+
+    A container is closed when the curve has moved STAY_OPEN windows past the
+    one that opened it, so what it holds are neighbours.
+    """
 
     def __init__(self, capacity: int, base: int) -> None:
-        self.capacity, self.next = capacity, base
+        self.capacity, self.next, self.turn = capacity, base, 0
         self.open: list[tuple[int, int]] = []  # (free, container), sorted
+        self.since: dict[int, int] = {}  # window in which an open container was opened
 
     def new(self, free: int) -> int:
         c, self.next = self.next, self.next + 1
         if free:
             insort(self.open, (free, c))
+            self.since[c] = self.turn
         return c
 
     def put(self, size: int) -> int:
@@ -102,48 +110,54 @@ class Packer:
             insort(self.open, (free - size, c))
         return c
 
-    def window(self, items: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
-        """(doc, piece, container, tokens) of (doc, tokens) items."""
+    def window(self, items: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(doc, piece, container, tokens, place) of (doc, tokens, place) items."""
         rests = []
-        for doc, tokens in items:
+        for doc, tokens, place in items:
             piece = 0
             if tokens > self.capacity:  # split only what alone exceeds the capacity
                 for piece in range(tokens // self.capacity):
-                    yield doc, piece, self.new(0), self.capacity
+                    yield doc, piece, self.new(0), self.capacity, place
                 piece += 1
                 tokens %= self.capacity
                 if not tokens:
                     continue
-            rests.append((tokens, doc, piece))
-        for tokens, doc, piece in sorted(rests, key=lambda r: (-r[0], r[1])):
-            yield doc, piece, self.put(tokens), tokens
+            rests.append((tokens, doc, piece, place))
+        for tokens, doc, piece, place in sorted(rests, key=lambda r: (-r[0], r[3])):
+            yield doc, piece, self.put(tokens), tokens, place
+        self.turn += 1
+        self.open = [(free, c) for free, c in self.open if self.turn - self.since[c] <= STAY_OPEN]
+        self.since = {c: self.since[c] for _, c in self.open}
 
 
-_PACKED = "limit_name string, capacity_tokens int, doc_id long, piece_no int, container_id long, tokens long"
+_PACKED = "limit_name string, capacity_tokens int, doc_id long, piece_no int, container_id long, tokens long, place long"
 
 
 def _pack(limits: list[tuple[str, int]], window: int = WINDOW):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         packers = [(name, Packer(capacity, base)) for name, capacity in limits]
-        held: list[tuple[int, int]] = []
+        held: list[tuple[int, int, int]] = []
+        place = base
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(items: list) -> Iterator[pa.RecordBatch]:
             for name, p in packers:
-                cols = list(zip(*p.window(held))) or [[]] * 4
+                cols = list(zip(*p.window(items))) or [[]] * 5
                 n = len(cols[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n, pa.string()), pa.array([p.capacity] * n, pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-                    names=["limit_name", "capacity_tokens", "doc_id", "piece_no", "container_id", "tokens"],
+                    [pa.array([name] * n, pa.string()), pa.array([p.capacity] * n, pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])],
+                    names=["limit_name", "capacity_tokens", "doc_id", "piece_no", "container_id", "tokens", "place"],
                 )
 
         for batch in batches:
-            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            if len(held) >= window:
-                yield from flush()
-                held = []
+            for doc, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((doc, tokens, place))
+                place += 1
+            while len(held) >= window:
+                yield from flush(held[:window])
+                held = held[window:]
         if held:
-            yield from flush()
+            yield from flush(held)
 
     return run
 
@@ -159,8 +173,8 @@ def pack_documents(docs: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZE
     """
     wanted = [(r.limit_name, r.capacity_tokens) for r in limits.filter("capacity_tokens >= 1").select("limit_name", "capacity_tokens").distinct().orderBy("capacity_tokens", "limit_name").collect()]
     sized = materialize(sized_documents(docs, tokenizer), "p8")
-    # four windows a range at least, so that what stays open at its end is little
-    ranges = max(1, min(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), sized.count() // (4 * WINDOW)))
+    # so many windows a range at least that what stays open at its end is little
+    ranges = max(1, min(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), sized.count() // (64 * WINDOW)))
     ordered = sized.repartitionByRange(ranges, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
     return ordered.select("doc_id", "tokens").mapInArrow(_pack(wanted), _PACKED)
 
@@ -170,11 +184,18 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per capacity: containers used, the least possible number, and the fill reached."""
-    packed = p8_pack(spark, sf_dir)
-    boxes = packed.groupBy("limit_name", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("used"))
-    total, n, cap = F.sum("used"), F.count("*"), F.col("capacity_tokens")
-    return boxes.groupBy("limit_name", "capacity_tokens").agg(n.alias("n_containers"), total.alias("total_tokens")).select("limit_name", "capacity_tokens", "n_containers", F.ceil(F.col("total_tokens") / cap).alias("n_least"), "total_tokens", F.round(F.col("total_tokens") / (cap * F.col("n_containers")), 6).alias("fill"))
+    """Per capacity: containers, the least possible number, the fill reached, and how near on the curve a container's documents lie.
+
+    ``mean_span`` is the mean distance in curve ranks between the first and
+    the last document of a container of several; ``random_span`` is what
+    filling the same containers in random order would give.
+    """
+    packed = materialize(p8_pack(spark, sf_dir), "p8packed")
+    n_docs = packed.groupBy("limit_name").agg(F.count_distinct("doc_id").alias("n_docs"))
+    boxes = packed.groupBy("limit_name", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("used"), F.count("*").alias("k"), (F.max("place") - F.min("place")).alias("span")).join(F.broadcast(n_docs), "limit_name")
+    total, n, cap, many = F.sum("used"), F.count("*"), F.col("capacity_tokens"), F.col("k") > 1
+    got = boxes.groupBy("limit_name", "capacity_tokens").agg(n.alias("n_containers"), total.alias("total_tokens"), F.avg(F.when(many, F.col("span"))).alias("mean_span"), F.avg(F.when(many, (F.col("n_docs") + 1) * (F.col("k") - 1) / (F.col("k") + 1))).alias("random_span"))
+    return got.select("limit_name", "capacity_tokens", "n_containers", F.ceil(F.col("total_tokens") / cap).alias("n_least"), "total_tokens", F.round(F.col("total_tokens") / (cap * F.col("n_containers")), 6).alias("fill"), F.round("mean_span", 1).alias("mean_span"), F.round("random_span", 1).alias("random_span"))
 
 
 QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill}
