@@ -69,7 +69,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             h = hasher.words(words)
             sig = signature(sigma[(h & np.uint64(DOMAIN - 1)).astype(np.int64)], window)
-            bands = mix((sig.reshape(BANDS, ROWS).astype(np.uint64) * weights).sum(axis=1) ^ salt)
+            bands = mix((sig.reshape(BANDS, ROWS).astype(np.uint64) * weights).sum(axis=1) ^ salt) >> np.uint64(16)
             sketch = np.packbits((mix(sig[:SKETCH].astype(np.uint64)) >> np.uint64(17)).astype(np.uint8) & 1)
             rows.append((i, len(words), int(mix(h).sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(h * np.uint64(3))).view(np.int64)), *map(int, sketch.view(np.int64)), bands.view(np.int64)))
         cols = list(zip(*rows)) if rows else [[]] * 7
@@ -118,17 +118,20 @@ class NearDuplicates:
     def __init__(self, reads: DataFrame) -> None:
         signed = materialize(sign_reads(reads), "p3sig")
         self.members = signed.select("read_id", "n", "set1", "set2").distinct()
-        self.classes = materialize(self.members.groupBy("n", "set1", "set2").agg(F.min("read_id").alias("rep"), F.count("*").alias("copies")), "p3cls")
+        once = signed.groupBy("n", "set1", "set2", "read_id").agg(F.first("sketch1").alias("sketch1"), F.first("sketch2").alias("sketch2"))
+        groups = once.groupBy("n", "set1", "set2").agg(F.min(F.struct("read_id", "sketch1", "sketch2")).alias("m"), F.count("*").alias("copies"))
+        key = F.shiftrightunsigned("set1", 24)  # 40 bits stand for a class where its text meets others
+        classes = materialize(groups.select("n", "set1", "set2", key.alias("c"), F.col("m.read_id").alias("rep"), "m.sketch1", "m.sketch2", "copies"), "p3cls")
+        self.classes = classes.select("n", "set1", "set2", "rep", "copies")
         # a band's row is two hashes: copies fall together map-side, and nothing else travels for texts that never meet
-        banded = signed.select(F.col("set1").alias("c"), F.explode("bands").alias("band")).distinct()
+        banded = signed.select(key.alias("c"), F.explode("bands").alias("band")).distinct()
         met = banded.select("band", F.col("c").alias("a")).join(banded.select("band", F.col("c").alias("b")), "band").filter("a < b").select("a", "b").distinct()
-        ids = self.classes.select("n", "set1", "rep").join(signed.select(F.col("read_id").alias("rep"), "sketch1", "sketch2").dropDuplicates(["rep"]), "rep")
-        l, r = (ids.select(F.col("set1").alias(x), F.col("rep").alias(f"rep_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch1", "sketch2"))) for x in "ab")
+        l, r = (classes.select(F.col("c").alias(x), F.col("rep").alias(f"rep_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch1", "sketch2"))) for x in "ab")
         size = (10 * F.col("n_a") >= 7 * F.col("n_b")) & (10 * F.col("n_b") >= 7 * F.col("n_a"))
         differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
         near = differ("sketch1") + differ("sketch2") <= MAX_DIFFERENT
-        # classes that agree in set1 alone are other classes, and pairs of their own
-        same = self.classes.groupBy("set1").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("set1").alias("a"), F.col("set1").alias("b"))
+        # classes that agree in these 40 bits by chance are other classes, and pairs of their own
+        same = classes.groupBy("c").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("c").alias("a"), F.col("c").alias("b"))
         pairs = met.union(same).join(l, "a").join(r, "b").filter(size & near & (F.col("rep_a") != F.col("rep_b")))
         pairs = materialize(pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), "p3cand")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("read_id"))
