@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from loomspan.functions import constants as C
 _EDGE = r"[\s\p{Z}<>\"'()\[\]{},;.«»“”„‘’`|]"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def trim_edges(url: Column) -> Column:
     """Strip white space and punctuation that surrounds a pasted address."""
     return F.regexp_replace(url, f"^{_EDGE}+|{_EDGE}+$", "")
@@ -75,14 +82,14 @@ def strip_tracking_params(url: Column) -> Column:
     return F.when((query == "") | (F.size(kept) == F.size(F.split(query, "&"))), url).otherwise(out)
 
 
-def registrable_domain(host: Column) -> Column:
-    """Last two labels, three under a two-label suffix; IPv4 hosts stay; null gives ""."""
-    h = F.regexp_replace(F.lower(F.trim(F.coalesce(host, F.lit("")))), r"\.+$", "")
-    labels = F.split(h, r"\.")
-    n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, n - k + 1, k), ".")
-    two = F.when(n >= 2, last(2)).otherwise(h)
-    return F.when(h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | (n <= 2), h).when(two.isin(C.multi_label_suffixes()), F.when(n >= 3, last(3)).otherwise(h)).otherwise(two)
+def registrable_domain(host: Column, suffixes: Sequence[str] = tuple(C.MULTI_LABEL_SUFFIXES)) -> Column:
+    """Last two labels, three under one of the two-label ``suffixes``; IPv4 hosts stay; null gives ""."""
+
+    def of(h: Column) -> Column:
+        last = lambda k: F.substring_index(h, ".", -k)
+        return F.when(h.rlike(r"^(?:\d{1,3}(?:\.\d{1,3}){3}|[^.]*(?:\.[^.]*)?)$"), h).when(last(2).isin(list(suffixes)), last(3)).otherwise(last(2))
+
+    return let(F.regexp_replace(F.lower(F.trim(F.coalesce(host, F.lit("")))), r"\.+$", ""), of)
 
 
 def host_in(host: Column, domains: list[str]) -> Column:
@@ -99,10 +106,26 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return out
 
 
-def is_ad_url(url: Column) -> Column:
-    """An advertising host, or an advertising word (or its plural) among the words of host and path."""
+def in_allowlist(url: Column, allow: Sequence[str]) -> Column:
+    return host_in(host_of(url), list(allow)) if allow else F.lit(False)
+
+
+def third_party(url: Column, page_url: Column, suffixes: Sequence[str] = tuple(C.MULTI_LABEL_SUFFIXES)) -> Column:
+    """Do both have a host, under different registrable domains?"""
+    a, b = host_of(url), host_of(page_url)
+    return F.coalesce((a != "") & (b != "") & (registrable_domain(a, suffixes) != registrable_domain(b, suffixes)), F.lit(False))
+
+
+def is_ad_url(url: Column, page_url: Column | None = None, allow: Sequence[str] = (), suffixes: Sequence[str] = tuple(C.MULTI_LABEL_SUFFIXES)) -> Column:
+    """An advertising host, an advertising word (or its plural) among the words of host and path, or a banner size on a third party's address.
+
+    Hosts in or below ``allow`` never are.
+    """
     words = F.split(F.lower(F.concat(netloc_of(url), F.lit("/"), path_of(url))), r"[^\p{L}\p{N}_]+")
-    return host_in(host_of(url), C.AD_HOSTS) | F.arrays_overlap(words, F.array(*[F.lit(w + s) for w in C.AD_WORDS for s in ("", "s")]))
+    ad = host_in(host_of(url), C.AD_HOSTS) | F.arrays_overlap(words, F.array(*[F.lit(w + s) for w in C.AD_WORDS for s in ("", "s")]))
+    if page_url is not None:
+        ad = ad | (url.rlike(r"[-_/]\d{2,4}[xX]\d{2,4}[-_/.]") & third_party(url, page_url, suffixes))
+    return ad & ~in_allowlist(url, allow)
 
 
 def is_video_url(url: Column) -> Column:
@@ -113,14 +136,21 @@ def is_junk_url(url: Column) -> Column:
     return host_in(host_of(url), C.AD_HOSTS) | contains_any(F.lower(url), C.JUNK_PATTERNS)
 
 
-def skip_crawl(url: Column) -> Column:
-    """Is the link no page worth a visit: no host, a file, an ad host, a service segment, tracking fields only?"""
+def skip_crawl(url: Column, extra: Sequence[str] = (), allow: Sequence[str] = ()) -> Column:
+    """Is the link no page worth a visit: no host, a file, an ad host, a service segment, tracking fields only?
+
+    ``extra``: further segments, of at least three letters; hosts in or below
+    ``allow`` are always visited.
+    """
     path, query = F.lower(path_of(url)), query_of(url)
     segments = F.split(path, "/")
     keys = F.transform(F.split(query, "&"), lambda p: F.lower(F.substring_index(p, "=", 1)))
     endings = path.rlike(r"\.(?:" + "|".join(C.FILE_ENDINGS) + ")$")
     only = (query != "") & F.forall(keys, lambda k: k.isin(C.REDIRECT_KEYS))
-    return F.when((scheme_of(url) == "") | (netloc_of(url) == ""), True).otherwise(endings | host_in(host_of(url), C.AD_HOSTS) | F.arrays_overlap(segments, F.array(*[F.lit(s) for s in C.SKIP_SEGMENTS])) | only)
+    stop = [*C.SKIP_SEGMENTS, *(w for w in (e.strip().lower().strip("/") for e in extra) if len(w) >= 3)]
+    ads = host_in(host_of(url), C.AD_HOSTS) | contains_any(F.lower(url), C.AD_NETWORKS)
+    skip = F.when((scheme_of(url) == "") | (netloc_of(url) == ""), True).otherwise(endings | ads | F.arrays_overlap(segments, F.array(*[F.lit(s) for s in stop])) | only)
+    return skip & ~in_allowlist(url, allow)
 
 
 def disposition(url: Column) -> Column:

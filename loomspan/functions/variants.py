@@ -17,8 +17,19 @@ ASPECTS = {
     "video": ["video sources clips", "watch online full", "official trailers"],
     "general": ["overview", "examples", "history", "current status"],
 }
+# Suffixes of short queries, and of longer ones by kind of query.
 BROAD_SUFFIXES = ["history", "trends", "examples", "best resources"]
-GENERAL_SUFFIXES = ["free", "image search", "examples", "best resources"]
+TYPE_SUFFIXES = {
+    "technical": ["API", "without API key", "open source", "integration", "setup", "documentation", "scraping", "library"],
+    "visual": ["free gallery photos portfolio", "high resolution original", "wallpapers collection", "art exhibition showcase"],
+    "person": ["career biography filmography", "free gallery photos portraits", "personal life interview", "aliases stage names real name"],
+    "historical": ["history origins timeline", "detailed chronology evolution", "archival sources primary", "background context facts"],
+    "news": ["latest news recent", "current status today", "developments updates", "official announcements"],
+    "comparison": ["vs alternative comparison", "pros cons advantages", "detailed analysis benchmark", "which is better"],
+    "video": ["video sources clips footage", "watch online stream full", "video archive collection", "trailer official release"],
+    "general": ["free", "image search", "examples", "best resources"],
+}
+# Variants of a query at most, and the number of words below which it is short.
 MAX_VARIANTS, BROAD_BELOW = 5, 4
 
 
@@ -36,10 +47,10 @@ def aspect_variants(query: Column, kind: str = "general") -> Column:
     return F.when(F.trim(query) != "", F.slice(rows, 1, MAX_VARIANTS)).otherwise(F.array().cast("array<struct<aspect:string,variant:string>>"))
 
 
-def plain_variants(query: Column) -> Column:
-    """The query and its suffixed forms: the first word with broad suffixes below four words, else the first four with general ones."""
+def plain_variants(query: Column, kind: str = "general") -> Column:
+    """The query and its suffixed forms: the first word with broad suffixes below four words, else the first four with those of its kind."""
     w = words(query)
     broad = F.array(*[F.concat(F.element_at(w, 1), F.lit(" " + s)) for s in BROAD_SUFFIXES])
-    full = F.array(*[F.concat(F.array_join(F.slice(w, 1, 4), " "), F.lit(" " + s)) for s in GENERAL_SUFFIXES])
+    full = F.array(*[F.concat(F.array_join(F.slice(w, 1, 4), " "), F.lit(" " + s)) for s in TYPE_SUFFIXES.get(kind, TYPE_SUFFIXES["general"])])
     more = F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < BROAD_BELOW, broad).otherwise(full)
     return F.slice(F.array_distinct(F.concat(F.array(_base(query)), more)), 1, MAX_VARIANTS)

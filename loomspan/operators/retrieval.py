@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import constants as C
 from loomspan.functions.text import retrieval_tokens, words
+from loomspan.session import materialize
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query: str, top_k: int | None = None) -> DataFrame:
     """(query, doc_id, score) of every query against every document that holds one of its terms.
 
-    All queries at once. Only occurrences of query terms leave the scan; the
-    table of settings ``queries`` does not grow and its terms are broadcast.
-    Statistics cover all documents; query terms are a set; null texts are
-    empty documents. With ``top_k`` the best of each query, ties by id.
+    All queries at once, one scan: the terms of ``queries``, a table of
+    settings that does not grow, are looked up inside each row, and only
+    their occurrences leave it. Statistics cover all documents; query terms
+    are a set; null texts are empty documents. With ``top_k`` the best of
+    each query, ties by id.
     """
     terms = queries.select(F.col(query).alias("query")).filter("query is not null").distinct().select("query", F.explode(F.array_distinct(retrieval_tokens(F.col("query")))).alias("term"))
+    wanted = sorted(r.term for r in terms.select("term").distinct().collect())
     d = docs.select(F.col(doc_id).alias("doc_id"), retrieval_tokens(F.col(text)).alias("tokens"))
-    stats = d.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()  # one row, two numbers
-    wanted = terms.select("term").distinct()
-    tf = d.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    d = materialize(d.select("doc_id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(wanted)).alias("hits")), "bm25")
+    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()  # one row, two numbers
+    tf = d.select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # one row per query term: bounded by the queries

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_text", "q_search", "q_urls", "q_state", "q_sources", "q_media"]
+MODULES = ["q_text", "q_search", "q_urls", "q_state", "q_sources", "q_media", "q_pages"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

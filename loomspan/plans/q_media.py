@@ -9,6 +9,7 @@ from loomspan.functions import urls as U
 from loomspan.functions.text import words
 from loomspan.operators import retrieval as R
 from loomspan.plans.q_search import results
+from loomspan.plans.q_urls import _P
 from loomspan.session import read_table
 
 # Names of images that show nothing, and endings that are no photographs.
@@ -57,7 +58,13 @@ def source_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"image_rows": image_rows, "bm25_url_rank": bm25_url_rank, "seed_scores": seed_scores, "boost_terms": boost_terms, "source_categories": source_categories}
 
 _R = "r AS (SELECT DISTINCT ON (serp_id) * FROM serp)"
+_TERMS = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_./:#\\-]+'), lambda w: w <> '')"
 SQL = {
+    "bm25_url_rank": f"""WITH u AS (SELECT DISTINCT url FROM serp), q AS (SELECT DISTINCT search_query AS query FROM query_variants WHERE search_query IS NOT NULL), t AS (SELECT query, unnest(list_distinct({_TERMS.format('query')})) AS term FROM q),
+ w AS (SELECT url, list_distinct(list_filter(regexp_split_to_array(lower({_P}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: len(x) >= 3)) AS ws FROM u), d AS (SELECT url, {_TERMS.format("array_to_string(ws, ' ')")} AS tokens FROM w), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+ tf AS (SELECT url, dl, term, count(*) AS tf FROM (SELECT url, len(tokens) AS dl, unnest(tokens) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ b AS (SELECT query, url, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM t JOIN df USING (term) JOIN tf USING (term), s GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, url) AS rank FROM b) SELECT query, url, round(score, 6) AS score, rank FROM k WHERE rank <= 40""",
     "image_rows": f"""SELECT image, min(read_id) AS read_id, count(DISTINCT read_id) AS n_reads FROM (SELECT read_id, unnest(images) AS image FROM webtools_bridge) WHERE image IS NOT NULL
  AND NOT regexp_matches(lower(image), '{_EMPTY}') AND NOT regexp_matches(lower(image), '{_ENDING}') GROUP BY 1""",
     "seed_scores": f"""WITH {_R}, g AS (SELECT search_query, url, min(serp_rank) AS best FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY search_query ORDER BY best, url) AS pos, count(*) OVER (PARTITION BY search_query) AS n FROM g)

@@ -11,7 +11,7 @@ from loomspan.functions import text as X
 from loomspan.functions import urls as U
 from loomspan.operators import retrieval as R
 from loomspan.plans.q_urls import SQL as URL_SQL
-from loomspan.plans.q_urls import _H, _any, _in, _suffix_in
+from loomspan.plans.q_urls import SUFFIXES, _H, _any, _domain, _in, _suffix_in
 from loomspan.session import read_table
 
 
@@ -67,13 +67,37 @@ def classify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("read_id", F.when(weak, "other").otherwise(F.col("b.name")).alias("category"), F.when(weak, 0.0).otherwise(F.least(F.col("b.score") / 10, F.lit(1.0))).alias("confidence"))
 
 
+def variant_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results with their relevance, their strength (relevance x placement) and their rank by it within the query variant that delivered them."""
+    rel = S.relevance_score(F.col("search_query"), F.col("title"), F.col("snippet"))
+    rows = results(spark, sf_dir).withColumn("rel", rel).withColumn("strength", F.round(F.col("rel") * S.authority_factor(F.col("search_query"), F.col("title"), F.col("url"), F.col("snippet")), 9))
+    order = Window.partitionBy("search_query", "query_variant").orderBy(F.desc("strength"), "serp_rank", "serp_id")
+    return rows.withColumn("vrank", F.row_number().over(order))
+
+
+def variant_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_ranks(spark, sf_dir).select("serp_id", "strength", F.col("vrank").cast("long").alias("vrank"))
+
+
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per query and url: the best relevance, its fused rank and the combined score."""
-    rows = results(spark, sf_dir)
-    fused = R.reciprocal_rank_fusion(rows.withColumn("rel", S.relevance_score(F.col("search_query"), F.col("title"), F.col("snippet"))), ["search_query", "url"], "serp_rank")
-    rel = rows.groupBy("search_query", "url").agg(F.max(S.relevance_score(F.col("search_query"), F.col("title"), F.col("snippet"))).alias("rel"), F.max("alive").alias("alive"), F.max(F.coalesce("aspect", F.lit("core"))).alias("aspect"), F.max("title").alias("title"), F.max("snippet").alias("snippet"))
-    best = fused.groupBy("search_query").agg(F.max("rrf").alias("top"))
-    return fused.join(rel, ["search_query", "url"]).join(best, "search_query").withColumn("score", F.round(S.combine_score(F.col("rel"), F.col("rrf") / F.col("top")), 9))
+    """Per query and url the record that came first, its fused rank over the variants and the combined score.
+
+    One aggregate: the first record as a whole (rank, then id), so title,
+    snippet, aspect and relevance always belong together.
+    """
+    record = F.struct("serp_rank", "serp_id", "rel", "alive", F.coalesce("aspect", F.lit("core")).alias("aspect"), "title", "snippet")
+    got = variant_ranks(spark, sf_dir).groupBy("search_query", "url").agg(F.sum(1 / (C.RRF_K + F.col("vrank"))).alias("rrf"), F.min(record).alias("m"))
+    best = got.groupBy("search_query").agg(F.max("rrf").alias("top"))  # a row per query
+    got = got.join(best, "search_query").select("search_query", "url", "rrf", "top", "m.rel", "m.alive", "m.aspect", "m.title", "m.snippet")
+    return got.withColumn("score", F.round(S.combine_score(F.col("rel"), F.col("rrf") / F.col("top")), 9))
+
+
+def final_order(spark: SparkSession, sf_dir: str, k: int = 30) -> DataFrame:
+    """The thirty strongest records of each query (relevance x placement), ties to the one delivered first."""
+    rows = variant_ranks(spark, sf_dir)
+    first = rows.groupBy("search_query", "url").agg(F.min(F.struct("serp_rank", "serp_id", "strength")).alias("m"))
+    rank = F.row_number().over(Window.partitionBy("search_query").orderBy(F.desc("m.strength"), "m.serp_rank", "m.serp_id"))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= k).select("search_query", "url", F.col("m.strength").alias("strength"), F.col("rank").cast("long").alias("rank"))
 
 
 def combine_score_topk(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
@@ -106,7 +130,7 @@ def suggest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def per_domain_cap(spark: SparkSession, sf_dir: str, cap: int = 2) -> DataFrame:
     """At most two urls per query and registrable domain, the best scores first."""
-    rows = combined(spark, sf_dir).withColumn("domain", U.registrable_domain(U.host_of(F.col("url"))))
+    rows = combined(spark, sf_dir).withColumn("domain", U.registrable_domain(U.host_of(F.col("url")), SUFFIXES))
     rank = F.row_number().over(Window.partitionBy("search_query", "domain").orderBy(F.desc("score"), "url"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= cap).select("search_query", "domain", "url", "score")
 
@@ -120,7 +144,7 @@ def bm25_multi_query(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame
 QUERIES = {
     "bm25_multi_query": bm25_multi_query, "serp_first_wins": serp_first_wins, "serp_word_filter": serp_word_filter, "title_dedup": title_dedup, "rrf_fusion": rrf_fusion, "relevance_score": relevance_score,
     "content_relevance": content_relevance, "authority_factor": authority_factor, "classify_content": classify_content, "combine_score_topk": combine_score_topk, "aspect_coverage": aspect_coverage,
-    "coverage_gate": coverage_gate, "suggest_terms": suggest_terms, "per_domain_cap": per_domain_cap,
+    "variant_rank": variant_rank, "final_order": final_order, "coverage_gate": coverage_gate, "suggest_terms": suggest_terms, "per_domain_cap": per_domain_cap,
 }
 
 _R = "r AS (SELECT DISTINCT ON (serp_id) * FROM serp)"
@@ -128,8 +152,6 @@ _NORM = "trim(regexp_replace(lower(regexp_replace(trim(coalesce(title, '')), '\\
 _LOW = "lower(coalesce(title, '') || ' ' || coalesce(snippet, ''))"
 _QW = "list_slice(list_filter(regexp_split_to_array(lower(trim(search_query)), '\\s+'), lambda w: len(w) > 2), 1, 8)"
 _REL = f"CASE WHEN len({_QW}) = 0 THEN 0.0 ELSE len(list_distinct(list_filter({_QW}, lambda w: contains(lower(coalesce(title, '')), w) OR contains(lower(coalesce(snippet, '')), w)))) / len({_QW}) END"
-_COMBINED = f"""f AS (SELECT search_query, url, sum(1.0 / (60 + serp_rank)) AS rrf, max({_REL}) AS rel, max(alive) AS alive FROM r GROUP BY ALL),
- c AS (SELECT *, round(0.6 * rel + 0.4 * rrf / max(rrf) OVER (PARTITION BY search_query), 9) AS score FROM f)"""
 _TN = "regexp_replace(lower(coalesce(snippet, '')), '[^\\p{L}\\p{N}_]+', ' ', 'g')"
 _PW = f"list_filter(string_split(trim(regexp_replace(lower(search_query), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: len(w) >= 2 AND NOT w IN {_in(C.SCORE_STOP_WORDS)})"
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_./:#\\-]+')"
@@ -155,6 +177,11 @@ def _authority_sql() -> str:
  * (CASE WHEN {conflict(v, 1)} THEN 0.3 ELSE 1.0 END) * (CASE WHEN {conflict(y, 0)} THEN 0.3 ELSE 1.0 END), 3)::DOUBLE AS factor FROM z"""
 
 
+_VARIANTS = f"""{_R}, aut AS ({_authority_sql()}), rr AS (SELECT *, {_REL} AS rel0 FROM r JOIN aut USING (serp_id)), rv AS (SELECT *, rel0::DOUBLE AS rel, round(rel0::DOUBLE * factor, 9) AS strength FROM rr),
+ vr AS (SELECT *, row_number() OVER (PARTITION BY search_query, query_variant ORDER BY strength DESC, serp_rank, serp_id) AS vrank FROM rv)"""
+_COMBINED = f"""{_VARIANTS}, f AS (SELECT search_query, url, sum(1.0::DOUBLE / (60 + vrank)) AS rrf, arg_min({{'rel': rel, 'alive': alive, 'aspect': coalesce(aspect, 'core'), 'title': title, 'snippet': snippet}}, (serp_rank, serp_id)) AS m FROM vr GROUP BY ALL),
+ c AS (SELECT search_query, url, m.alive AS alive, m.aspect AS aspect, m.title AS title, m.snippet AS snippet, round(0.6::DOUBLE * m.rel + 0.4::DOUBLE * (rrf / max(rrf) OVER (PARTITION BY search_query)), 9) AS score FROM f)"""
+
 SQL = {
     "bm25_multi_query": f"""WITH q AS (SELECT DISTINCT search_query AS query FROM query_variants WHERE search_query IS NOT NULL), t AS (SELECT query, unnest(list_distinct({_TOK.format('query')})) AS term FROM q),
  d AS (SELECT doc_id, {_TOK.format('text')} AS tokens FROM documents), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
@@ -176,15 +203,18 @@ SQL = {
     "authority_factor": _authority_sql(),
     "classify_content": f"""WITH x AS (SELECT read_id, lower(coalesce(url, '')) AS u, lower(coalesce(title, '')) AS t, lower(coalesce(text, '')) AS b FROM webtools_bridge), y AS (SELECT read_id, list_max({_category_sql()}) AS m FROM x)
  SELECT read_id, CASE WHEN m.score < 4 OR m.name IN ('social', 'directory') THEN 'other' ELSE m.name END AS category, CASE WHEN m.score < 4 OR m.name IN ('social', 'directory') THEN 0.0 ELSE least(m.score / 10, 1.0) END::DOUBLE AS confidence FROM y""",
-    "combine_score_topk": f"""WITH {_R}, {_COMBINED}, k AS (SELECT *, row_number() OVER (PARTITION BY search_query ORDER BY score DESC, url) AS rank FROM c WHERE alive) SELECT search_query, url, score::DOUBLE AS score, rank FROM k WHERE rank <= 20""",
+    "combine_score_topk": f"""WITH {_COMBINED}, k AS (SELECT *, row_number() OVER (PARTITION BY search_query ORDER BY score DESC, url) AS rank FROM c WHERE alive) SELECT search_query, url, score::DOUBLE AS score, rank FROM k WHERE rank <= 20""",
     "aspect_coverage": f"""WITH {_R}, w AS (SELECT DISTINCT search_query, coalesce(aspect, 'core') AS aspect FROM query_variants), g AS (SELECT search_query, coalesce(aspect, 'core') AS aspect, count(DISTINCT url) AS n FROM r WHERE alive GROUP BY ALL)
  SELECT search_query, aspect, coalesce(n, 0) AS n_pages FROM w LEFT JOIN g USING (search_query, aspect)""",
+    "variant_rank": f"WITH {_VARIANTS} SELECT serp_id, strength, vrank FROM vr",
+    "final_order": f"""WITH {_VARIANTS}, g AS (SELECT search_query, url, arg_min({{'strength': strength, 'a': serp_rank, 'b': serp_id}}, (serp_rank, serp_id)) AS m FROM vr GROUP BY ALL),
+ k AS (SELECT search_query, url, m.strength AS strength, row_number() OVER (PARTITION BY search_query ORDER BY m.strength DESC, m.a, m.b) AS rank FROM g) SELECT * FROM k WHERE rank <= 30""",
     "coverage_gate": f"""WITH {_R}, x AS (SELECT search_query, {_LOW} AS low, list_filter(regexp_extract_all(lower(search_query), '[\\p{{L}}\\p{{N}}_]+'), lambda w: len(w) >= 3) AS terms FROM r),
  y AS (SELECT *, list_filter(list_distinct(terms), lambda t: contains(low, t)) AS hits FROM x), f AS (SELECT search_query, len(terms) AS n, max(len(hits) = len(list_distinct(terms))) AS full_hit FROM y GROUP BY ALL),
  h AS (SELECT search_query, t FROM (SELECT search_query, unnest(hits) AS t FROM y) GROUP BY ALL HAVING count(*) >= 2), c AS (SELECT search_query, count(*) AS k FROM h GROUP BY 1)
  SELECT search_query, coalesce(k, 0) AS n_covered, full_hit OR coalesce(k, 0) >= greatest(1, n // 2) AS sufficient FROM f LEFT JOIN c USING (search_query)""",
     "suggest_terms": f"""WITH {_R}, x AS (SELECT search_query AS query, unnest(list_distinct(list_filter(regexp_extract_all({_LOW}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: len(w) >= 3 AND NOT w IN {_in(C.REFINE_STOP_WORDS)}))) AS term, regexp_extract_all(lower(search_query), '[\\p{{L}}\\p{{N}}_]+') AS own FROM r),
  y AS (SELECT query, term, count(*) AS df FROM x WHERE NOT list_contains(own, term) GROUP BY ALL HAVING count(*) >= 2), z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY df DESC, term) AS rank FROM y) SELECT * FROM z WHERE rank <= 3""",
-    "per_domain_cap": f"""WITH {_R}, {_COMBINED}, e AS (SELECT search_query, url, score, string_split({_H}, '.') AS l FROM c), g AS (SELECT *, CASE WHEN len(l) <= 2 OR (array_to_string(l[-2:], '.') NOT IN {_in(C.multi_label_suffixes())}) THEN array_to_string(l[-2:], '.') ELSE array_to_string(l[-3:], '.') END AS domain FROM e),
+    "per_domain_cap": f"""WITH {_COMBINED}, e AS (SELECT search_query, url, score, string_split({_H}, '.') AS l FROM c), g AS (SELECT *, CASE WHEN len(l) <= 2 OR (array_to_string(l[-2:], '.') NOT IN {_in(SUFFIXES)}) THEN array_to_string(l[-2:], '.') ELSE array_to_string(l[-3:], '.') END AS domain FROM e),
  k AS (SELECT *, row_number() OVER (PARTITION BY search_query, domain ORDER BY score DESC, url) AS rank FROM g) SELECT search_query, domain, url, score::DOUBLE AS score FROM k WHERE rank <= 2""",
 }

@@ -43,18 +43,20 @@ def http_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarantine(spark: SparkSession, sf_dir: str, batch: int = 10, limit: int = 2) -> DataFrame:
-    """Checks a run in batches of ten would skip: their host was blocked twice in earlier batches.
+    """Checks that a run in batches of ten would skip: their host was blocked twice in earlier batches.
 
-    Position and counts run over each host's checks of one day, so that no
-    task holds a host's whole history.
+    A check's place in its host's history is its place in the day plus the
+    checks of the days before, so no task sorts a whole history. The second
+    blocked check decides: every batch after its own is skipped.
     """
-    log = read_table(spark, sf_dir, "fetch_log").dropDuplicates(["check_id"]).withColumn("day", F.to_date("checked_at"))
+    log = read_table(spark, sf_dir, "fetch_log").dropDuplicates(["check_id"]).filter("host is not null").select("check_id", "host", "checked_at", F.to_date("checked_at").alias("day"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    days = log.groupBy("host", "day").agg(F.count("*").alias("n"))
+    days = days.select(F.col("host").alias("h"), F.col("day").alias("d"), F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     order = Window.partitionBy("host", "day").orderBy("checked_at", "check_id")
-    pos = log.select("check_id", "host", "day", "checked_at", F.coalesce("blocked", F.lit(False)).cast("int").alias("b"), F.floor((F.row_number().over(order) - 1) / batch).alias("batch"))
-    per = pos.groupBy("host", "day", "batch").agg(F.sum("b").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy("host", "day").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = per.withColumn("before", before).filter(F.col("before") >= limit).select("host", "day", "batch")
-    return pos.join(out, ["host", "day", "batch"], "left_semi").select("check_id", "host", F.col("batch").cast("long").alias("batch"))
+    pos = log.withColumn("place", F.row_number().over(order)).join(days, (F.col("host") == F.col("h")) & F.col("day").eqNullSafe(F.col("d"))).select("check_id", "host", "day", "blocked", F.floor((F.col("before") + F.col("place") - 1) / batch).alias("batch"), (F.col("before") + F.col("place")).alias("at"))
+    early = pos.filter("blocked").withColumn("k", F.row_number().over(Window.partitionBy("host", "day").orderBy("at"))).filter(F.col("k") <= limit)
+    last = early.groupBy("host").agg(F.element_at(F.slice(F.array_sort(F.collect_list("batch")), 1, limit), -1).alias("last"), F.count("*").alias("n")).filter(F.col("n") >= limit)
+    return pos.join(last.select("host", "last"), "host").filter(F.col("batch") > F.col("last")).select("check_id", "host", F.col("batch").cast("long").alias("batch"))
 
 
 def page_block_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +91,9 @@ SQL = {
     "wall_state_stream": _WALL,
     "page_liveness": f"""WITH {_L} SELECT lower(split_part(content_type, ';', 1)) AS content_type, coalesce(text_length >= 500 AND text_words >= 50 AND NOT blocked, false) AS by_rule, alive AS flag, count(*) AS n FROM l GROUP BY ALL""",
     "http_outcomes": f"WITH {_L} SELECT status, error, count(*) AS n, count(*) FILTER (alive) AS n_alive, count(*) FILTER (proxy_used) AS n_proxy, count(*) FILTER (blocked) AS n_blocked FROM l GROUP BY ALL",
-    "quarantine": f"""WITH {_L}, p AS (SELECT check_id, host, checked_at::DATE AS day, coalesce(blocked, false)::INT AS b, (row_number() OVER (PARTITION BY host, checked_at::DATE ORDER BY checked_at, check_id) - 1) // 10 AS batch FROM l),
- g AS (SELECT host, day, batch, sum(b) AS k FROM p GROUP BY ALL), h AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY host, day ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
- SELECT check_id, p.host, p.batch FROM p JOIN h USING (host, day, batch) WHERE before >= 2""",
+    "quarantine": f"""WITH {_L}, p AS (SELECT check_id, host, coalesce(blocked, false)::INT AS b, (row_number() OVER (PARTITION BY host ORDER BY checked_at, check_id) - 1) // 10 AS batch FROM l WHERE host IS NOT NULL),
+ g AS (SELECT host, batch, sum(b) AS k FROM p GROUP BY ALL), h AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY host ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+ SELECT check_id, p.host, p.batch FROM p JOIN h USING (host, batch) WHERE before >= 2""",
     "page_block_type": f"""SELECT coalesce(CASE {" ".join(f"WHEN contains(lower(text), '{m}') THEN '{v}'" for m, v in C.CHALLENGE_VENDORS)} {" ".join("WHEN contains(lower(text), '" + m.replace("'", "''") + "') THEN 'generic'" for m in C.CHALLENGE_MARKERS)} END,
  CASE WHEN len(text) >= 60 AND {" + ".join(f"contains(lower(text), '{m}')::INT" for m in C.LOGIN_MARKERS)} >= 2 THEN 'login' END) AS by_text, blocked AS flag, count(*) AS n FROM webtools_bridge GROUP BY ALL""",
     "latest_snapshot": "SELECT url, wayback_ts, read_id FROM (SELECT url, wayback_ts, read_id, row_number() OVER (PARTITION BY url ORDER BY wayback_ts DESC, read_id DESC) AS k FROM webtools_bridge WHERE url IS NOT NULL AND wayback_ts IS NOT NULL) WHERE k = 1",
