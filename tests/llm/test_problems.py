@@ -292,3 +292,29 @@ def test_p10_censored_fit_recovers_the_distribution():
     hist = pd.Series(x).value_counts().rename_axis("len").reset_index(name="n")
     mu, sd, _ = p10_truncation.fit_censored(hist, {600})
     assert abs(mu - 6.0) < 0.05 and abs(sd - 0.8) < 0.05
+
+
+def test_p8_containers_hold_neighbours_of_the_curve(spark, sf):
+    for r in p08_packing.p8_fill(spark, sf.replace("sf0.001", "sf0.1")).collect():
+        assert r.fill >= 0.985 and r.mean_span <= 0.2 * r.random_span, r
+
+
+def test_p10_odds_come_from_the_censored_lengths():
+    # (evidence, away from the limits, at limits, censored there)
+    odds, base = p10_truncation.ending_odds([("open", 50.0, 90.0, 89.0), ("closed", 900.0, 9.0, 5.0), ("listed", 50.0, 1.0, 0.9)])
+    assert base < -2 and odds["open"] > 5 and odds["closed"] < -2.5 and odds["listed"] < -1
+    plain, _ = p10_truncation.ending_odds([("open", 5.0, 0.0, 0.0), ("closed", 95.0, 0.0, 0.0)])
+    assert plain["open"] > plain["closed"]
+
+
+def test_p6_long_pages_align_without_a_table():
+    a = [f"line {i}" for i in range(3000)]
+    b = [x for i, x in enumerate(a) if i % 7] + ["tail"] * 50
+    x, y = p06_main_body.common_lines(a, b)
+    assert len(x) == len(y) == len(b) - 50 and [a[i] for i in sorted(x)] == [b[j] for j in sorted(y)]
+
+
+def test_p6_neighbour_behind_copies(spark):
+    texts = [article(1, 6) + "\nTerms of the house"] + [article(5, 6) + f"\nTerms of the house\nSeen by {n}" for n in ("ann", "bea", "cyd", "dot", "eve", "fay")]
+    pages = {p.read_id: p for p in p06_main_body.difference_pages(reads(spark, texts, {i: f"https://c.test/{i}" for i in range(7)})).collect()}
+    assert all(p.paired for p in pages.values())
