@@ -127,7 +127,7 @@ def fingerprint_pairs(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFr
 
 
 def fallback_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most eighty results of each query, best first, six of a domain, none 0.85 like a kept one."""
+    """At most eighty results of each query: best first, without those 0.85 like one before that stayed, then the first six of a domain."""
     tokens = F.regexp_extract_all(F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))), F.lit(r"[a-zA-Z0-9_./:#-]+"), 0)
     rows = combined(spark, sf_dir).filter("alive").select("search_query", "url", "score", "title", "snippet").withColumn("domain", U.registrable_domain(U.host_of(F.col("url")), SUFFIXES))
     kept = L.distinct_per_query(rows, "search_query", [F.desc("score"), "url"], tokens, F.coalesce("snippet", F.lit("")), 0.85)
