@@ -124,6 +124,7 @@ def quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _diverse(rows: DataFrame, k: int = 18) -> DataFrame:
+    rows = materialize(rows, "diverse")  # read twice: for the bound and for the candidates
     near = L.mmr_candidates(rows, "search_query", _best(), "score", ["aspect", "title", "snippet"], k)
     return L.select_per_query(near, "search_query", _best(), lambda p: L.mmr(p["score"].tolist(), _sets(p), p["aspect"].tolist(), k), _COLS)
 
