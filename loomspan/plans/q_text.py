@@ -146,7 +146,7 @@ def saturation_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose whole texts' words are at least 0.85 alike, each text once, copies as pairs with their first."""
-    rows = read_table(spark, sf_dir, "documents").dropDuplicates(["doc_id"])
+    rows = read_table(spark, sf_dir, "documents")
     pairs = similar_pairs(rows.select("doc_id", X.retrieval_tokens(F.col("text")).alias("t")), "doc_id", "t", 0.85)
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 

@@ -201,3 +201,28 @@ def test_jaccard_pairs_are_of_whole_document_texts(spark, tmp_path):
     rows = [(1, None, long), (2, "t", long + " end"), (3, "t", long[: len(long) // 2]), (4, "t", None), (5, None, long)]
     spark.createDataFrame(rows, "doc_id long, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.a, r.b) for r in jaccard_pairs(spark, str(tmp_path)).collect()} == {(1, 2), (1, 5)}
+
+
+def test_similar_pairs_of_common_words_leave_few_candidates(spark):
+    from loomspan.operators.simjoin import _candidates
+
+    rng = random.Random(11)
+    words = [f"{'abcdefgh'[i % 8]}{'xyz' * (i % 3)}{i}" for i in range(150)]
+    sets = [rng.sample(words, rng.randrange(30, 90)) for _ in range(500)]
+    for base in sets[:60]:  # around the threshold: up to a tenth of the words dropped, changed or added
+        k = rng.randrange(1, 1 + len(base) // 10)
+        sets += [base[k:], base[k:] + [f"new{i}" for i in range(k)], base + [f"new{i}" for i in range(k)], base[::-1]]
+    sets += [["one"], ["one"], ["one", "two"], [f"w{i}" for i in range(3000)], [f"w{i}" for i in range(400, 3000)], []]
+    for threshold in (0.85, 0.7):
+        rows = spark.createDataFrame(list(enumerate(sets)), "id long, t array<string>")
+        want, first = set(), {}
+        for i, s in enumerate(map(frozenset, sets)):
+            if s and s in first:
+                want.add((first[s], i, 1.0))
+            elif s:
+                want |= {(j, i, k / (len(s) + len(o) - k)) for o, j in first.items() if (k := len(s & o)) >= threshold * (len(s) + len(o) - k)}
+                first[s] = i
+        got = similar_pairs(rows, "id", "t", threshold).collect()
+        assert {(r.a, r.b, r.similarity) for r in got} == want and len(got) == len(want) > 150
+    cand = _candidates(rows.filter("id < 500").select(F.array_sort("t").alias("t")).select("t", F.xxhash64("t").alias("h"), F.size("t").alias("n")), 0.85)
+    assert cand.count() < 20  # all 500 share words of their prefixes: some 60,000 pairs of fitting sizes
