@@ -318,3 +318,13 @@ def test_p6_neighbour_behind_copies(spark):
     texts = [article(1, 6) + "\nTerms of the house"] + [article(5, 6) + f"\nTerms of the house\nSeen by {n}" for n in ("ann", "bea", "cyd", "dot", "eve", "fay")]
     pages = {p.read_id: p for p in p06_main_body.difference_pages(reads(spark, texts, {i: f"https://c.test/{i}" for i in range(7)})).collect()}
     assert all(p.paired for p in pages.values())
+
+
+def test_p6_long_pages_of_repeated_lines_align_exactly():
+    rng = random.Random(8)
+    a, b = [[f"line {rng.randrange(12)}" for _ in range(n)] for n in (300, 260)]
+    best = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+    x, y = p06_main_body.common_lines(a, b)
+    assert len(x) == len(y) == best[-1, -1] and [a[i] for i in sorted(x)] == [b[j] for j in sorted(y)]
