@@ -328,3 +328,13 @@ def test_p6_long_pages_of_repeated_lines_align_exactly():
         best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
     x, y = p06_main_body.common_lines(a, b)
     assert len(x) == len(y) == best[-1, -1] and [a[i] for i in sorted(x)] == [b[j] for j in sorted(y)]
+
+
+def test_p5_counts_only_what_decides(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(p05_site_lines, "materialize", lambda df, label: written.append(df) or df)
+    texts = [f"Notice of all\nonly here {k}\n{'of six' if k % 40 < 6 else 'of the rest ' + str(k)}" for k in range(240)]
+    found = p05_site_lines.excess_lines(reads(spark, texts, {k: f"https://s{k // 120}.test/{k}" for k in range(240)})).collect()
+    # 120 reads of two sites: 18 of "of six" in each, and the notice of every site
+    assert {(r.site, r.line, r.n, r.n_site) for r in found} == {(f"s{k}.test", x, n, 120) for k in (0, 1) for x, n in (("notice of all", 120), ("of six", 18))}
+    assert max(df.count() for df in written) == 4  # no table of a background: nothing but the sites and the cases
